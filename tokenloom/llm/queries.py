@@ -5,15 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tokenloom.llm import gif, mixing, packing, warc
-from tokenloom.llm._common import table
+from tokenloom.llm import gif, langid, mixing, packing, toxicity, warc
+from tokenloom.llm._common import fold_column, table
 
 
 def op3_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, keep=lambda key: fold_column(key, 3) != 1)
+    return toxicity.score(docs, model).select("doc_id", (fold_column(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, keep=lambda key: fold_column(key, 5) != 0)
+    return langid.predict(docs, model).select("doc_id", (fold_column(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_position(mixing.mix(table(spark, sf_dir, "documents")))
 
@@ -29,7 +42,7 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media_gif, op6_mix_sources, op9_pack_sequences, op10_warc_zstd)}
+    return {f.__name__: f for f in (op3_media_gif, op4_toxicity_noisy_or, op5_language_spans, op6_mix_sources, op9_pack_sequences, op10_warc_zstd)}
 
 
 def oracle_sql() -> dict[str, str]:
