@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import gif, langid, mixing, packing, toxicity, warc
+from tokenloom.llm import ann, gif, langid, licenses, mixing, ngram_join, packing, substring, toxicity, warc
 from tokenloom.llm._common import fold_column, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "chunks", "kept_doc_id")
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op3_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.round_trip(table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,15 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_position(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op7_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op8_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
@@ -42,7 +59,7 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_media_gif, op4_toxicity_noisy_or, op5_language_spans, op6_mix_sources, op9_pack_sequences, op10_warc_zstd)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard, op3_media_gif, op4_toxicity_noisy_or, op5_language_spans, op6_mix_sources, op7_forest_search, op8_license_windows, op9_pack_sequences, op10_warc_zstd)}
 
 
 def oracle_sql() -> dict[str, str]:
