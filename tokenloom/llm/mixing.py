@@ -62,15 +62,14 @@ def invert(schedule: Schedule, share: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, schedules: Sequence[Schedule] = (RISING, FALLING), named: Mapping[str, Schedule] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken and position of every document.
+    """doc_id, size, source_size, target, taken, position, source and key (the hash) of every document.
 
     Each source's documents lie on a line in the order of a hash of id and text; the line is walked ``target`` words far,
     round and round.  ``taken`` is what the walk passes of a document, repeats counted: ``target`` rounded down or up for
     each source, at most ``most`` times the size for each document.  ``position`` (0 to 1, null where nothing is taken) is
     the time by which the source's weight schedule has demanded the words before the document.  ``schedules`` are dealt to
     sources by rank, ``named`` overrides them.  Null texts have size 0; null sources form one source.  Repeated rows with
-    equal id and text share their place in order of appearance of neither: both lie side by side and are told apart by
-    nothing, so their sum is what holds.
+    equal id and text lie side by side; which of them comes first is left open, what they take together is not.
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
     base = materialise(sized.withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int")), "sizes")
@@ -93,10 +92,28 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         time = F.when(F.col("rank") % len(by_rank) == k, x).otherwise(time)
     for name, schedule in (named or {}).items():
         time = F.when(F.col("source") == name, invert(schedule, passed)).otherwise(time)
-    return rows.select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, time).alias("position"), "source")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, time).alias("position"), "source", F.col("h").alias("key"))
 
 
 def by_position(mixed: DataFrame) -> DataFrame:
     """Range-sorts documents by training position; those that aren't taken come last."""
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return mixed.repartitionByRange(parts, F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def resample(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, in the order of training positions; all columns stay.
+
+    ``taken`` over size, rounded, is how often; texts without words stay once.
+    """
+    same = ["_id", "_key"]
+    keyed = docs.withColumns({"_id": F.col(id_col), "_key": F.xxhash64(F.col(id_col), F.col(text_col))})
+    number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+    left = keyed.withColumn("_nth", number)
+    mixed = mix(docs, weights, share, most, id_col=id_col, text_col=text_col, source_col=source_col)
+    times = F.when(F.col("size") > 0, F.floor((F.col("taken") + F.col("size") / 2) / F.col("size"))).otherwise(1).cast("int")
+    right = mixed.select(F.col("doc_id").alias("_i"), F.col("key").alias("_k"), times.alias("_times"), F.col("position").alias("_position")).withColumn("_n", F.row_number().over(Window.partitionBy("_i", "_k").orderBy("_position"))).filter("_times > 0")
+    joined = left.join(right, F.expr("_id <=> _i AND _key = _k AND _nth = _n")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = F.col("_position").asc_nulls_last(), F.col("_id")
+    return joined.repartitionByRange(parts, *by).sortWithinPartitions(*by).select(*docs.columns)

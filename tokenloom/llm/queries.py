@@ -36,7 +36,7 @@ def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.by_position(mixing.mix(table(spark, sf_dir, "documents")))
+    return mixing.by_position(mixing.mix(table(spark, sf_dir, "documents"))).drop("key")
 
 
 def op7_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
