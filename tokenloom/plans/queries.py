@@ -1,15 +1,447 @@
-"""Every query of the library itself, and the same in SQL."""
+"""Every query of the library itself over the driver's tables, and the same in DuckDB's SQL where that can tell it."""
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tokenloom.functions import bytemap, strings
+from tokenloom.operators import chat, decoders, models, normalizers, postprocessors, pretokenizers, splits
+from tokenloom.plans.tokenizer import Tokenizer
+from tokenloom.sources import manifest
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+# ---- how queries are made ------------------------------------------------------------------------------------------
+
+SEP = "¦"
+#: RE2's classes for the patterns; the tables hold ASCII white space only.
+_WS, _PUNCT = r"\s", r"\p{P}!-/:-@\[-`{-~"
+_PRIVATE = chr(0xE000)
+_BYTE_LEVEL = rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}{_PRIVATE}]+|\s+"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _text(name: str, make: Callable[[Column], Column], sql: str | None) -> None:
+    """A query from text to text."""
+    QUERIES[name] = lambda spark, d: _docs(spark, d).select("doc_id", make(F.col("text")).alias("out"))
+    if sql:
+        SQL[name] = f"SELECT doc_id, {sql} AS out FROM documents"
+
+
+def _listed(sql: str, source: str = "documents") -> str:
+    return f"SELECT doc_id, CAST(len(a) AS INTEGER) AS n, array_to_string(a, '{SEP}') AS toks FROM (SELECT doc_id, {sql} AS a FROM {source})"
+
+
+def _array(name: str, make: Callable[[Column], Column], sql: str | None) -> None:
+    """A query from text to an array, shown as its size and its elements joined."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _docs(spark, d).select("doc_id", make(F.col("text")).alias("a")).select("doc_id", F.size("a").alias("n"), F.array_join("a", SEP).alias("toks"))
+
+    QUERIES[name] = run
+    if sql:
+        SQL[name] = _listed(sql)
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _extract(pattern: str, of: str = "text") -> str:
+    return f"regexp_extract_all({of}, '{pattern}')"
+
+
+def _mapped(of: str, table: dict[str, str]) -> str:
+    """Characters of ``of`` replaced by a table."""
+    pairs = ", ".join(f"{_q(k)}: {_q(v)}" for k, v in table.items())
+    return f"array_to_string(list_transform(regexp_extract_all({of}, '(?s).'), lambda c: coalesce(map_extract_value(MAP {{{pairs}}}, c), c)), '')"
+
+
+_LATIN = [chr(i) for i in range(0xC0, 0x180)]
+_NFD = {c: unicodedata.normalize("NFD", c) for c in _LATIN if unicodedata.normalize("NFD", c) != c}
+_BYTES = {c: "".join(bytemap.ALPHABET[b] for b in c.encode()) for c in [" ", "\n", *(chr(i) for i in range(0xA1, 0x180) if chr(i) != SEP), "’", "“", "”", "–", "—", "…", "·"]}
+
+# ---- normalizers ---------------------------------------------------------------------------------------------------
+
+_text("n_prepend", normalizers.prepend("▁"), "'▁' || text")
+_text("n_replace_str", normalizers.replace({"String": "the"}, "<$1>"), "replace(text, 'the', '<$1>')")
+_text("n_replace_re", normalizers.replace({"Regex": "[aeiou]+"}, "$0\\"), r"replace(regexp_replace(text, '[aeiou]+', '@@', 'g'), '@@', '$0\')")
+_text("n_lower", normalizers.build({"type": "Lowercase"}), "lower(text)")
+_text("n_nfc", normalizers.unicode_form("NFC"), "nfc_normalize(text)")
+_text("n_nfd", normalizers.unicode_form("NFD"), _mapped("text", _NFD))
+_text("n_nfkc", normalizers.unicode_form("NFKC"), "replace(nfc_normalize(text), '…', '...')")
+_text("n_nfkd", normalizers.unicode_form("NFKD"), _mapped("replace(text, '…', '...')", _NFD))
+_text("n_bert", normalizers.bert(), "lower(strip_accents(translate(text, chr(9) || chr(10) || chr(13), '   ')))")
+_text("n_clean", normalizers.clean, "translate(text, chr(9) || chr(10) || chr(13), '   ')")
+_text("n_cjk", normalizers.space_ideographs, r"regexp_replace(text, '([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}])', ' \1 ', 'g')")
+_text("n_strip_accents", normalizers.build({"type": "StripAccents"}), "replace(nfc_normalize(text), '…', '...')")
+_text("n_precompiled", normalizers.precompiled(), "replace(nfc_normalize(text), '…', '...')")
+_text("n_strip", lambda c: normalizers.strip()(F.concat(F.lit("\t "), c, F.lit(" \n"))), r"regexp_replace('x' || chr(9) || ' ' || text || ' ' || chr(10), '^x\s+|\s+$', '', 'g')")
+_text("n_sequence", normalizers.build({"type": "Sequence", "normalizers": [{"type": "Prepend", "prepend": "▁"}, {"type": "Replace", "pattern": {"String": " "}, "content": "▁"}, {"type": "Lowercase"}]}), "lower(replace('▁' || text, ' ', '▁'))")
+
+# ---- pre-tokenizers and splits -------------------------------------------------------------------------------------
+
+
+def _pre(config: dict) -> Callable[[Column], Column]:
+    step = pretokenizers.build(config)
+    return lambda c: step(c, F.lit(True))
+
+
+_MARKED = rf"regexp_replace(text, '(\s)([^\s])', '{_PRIVATE}\1\2', 'g')"
+_PIECES = _extract(_BYTE_LEVEL, _MARKED)
+_SPACED = "replace(text, ' ', '▁')"
+
+_array("p_bert", _pre({"type": "BertPreTokenizer"}), _extract(rf"[^{_WS}{_PUNCT}]+|[{_PUNCT}]"))
+_array("p_whitespace", _pre({"type": "WhitespaceSplit"}), _extract(rf"[^{_WS}]+"))
+_array("p_metaspace_always", _pre({"type": "Metaspace", "replacement": "▁", "addPrefixSpace": True}), f"regexp_extract_all(CASE WHEN starts_with({_SPACED}, '▁') THEN {_SPACED} ELSE '▁' || {_SPACED} END, '▁?[^▁]+|▁')")
+_array("p_metaspace_first", _pre({"type": "Metaspace", "replacement": "▁", "addPrefixSpace": True, "prependScheme": "first"}), f"regexp_extract_all(CASE WHEN starts_with({_SPACED}, '▁') THEN {_SPACED} ELSE '▁' || {_SPACED} END, '▁?[^▁]+|▁')")
+_array("p_metaspace_never", _pre({"type": "Metaspace", "replacement": "▁", "addPrefixSpace": True, "prependScheme": "never"}), f"regexp_extract_all({_SPACED}, '▁?[^▁]+|▁')")
+_array("p_bytelevel", _pre({"type": "ByteLevel"}), None)
+SQL["p_bytelevel"] = f"SELECT doc_id, n, {_mapped('toks', _BYTES)} AS toks FROM ({_listed(_PIECES)})"
+_array("p_bytelevel_prefix", _pre({"type": "ByteLevel", "addPrefixSpace": True}), None)
+_PREFIXED = f"list_transform({_PIECES}, lambda x: CASE WHEN starts_with(x, ' ') THEN x ELSE ' ' || x END)"
+SQL["p_bytelevel_prefix"] = f"SELECT doc_id, n, {_mapped('toks', _BYTES)} AS toks FROM ({_listed(_PREFIXED)})"
+_array("p_bytelevel_noregex", _pre({"type": "ByteLevel", "useRegex": False}), None)
+SQL["p_bytelevel_noregex"] = f"SELECT doc_id, n, {_mapped('toks', _BYTES)} AS toks FROM ({_listed('[text]')})"
+_array("p_punct", _pre({"type": "Punctuation"}), _extract(rf"[^{_PUNCT}]+|[{_PUNCT}]+"))
+_array("p_digits", _pre({"type": "Digits"}), _extract("[^0-9]+|[0-9]+"))
+_array("p_digits_individual", _pre({"type": "Digits", "individualDigits": True}), _extract("[^0-9]+|[0-9]"))
+_cut = lambda pattern, kept: f"list_filter(string_split(regexp_replace(text, '{pattern}', chr(1) || '{kept}' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+_array("p_split_str", _pre({"type": "Split", "pattern": {"String": "e"}}), _cut("e", r"\0"))
+_array("p_split_invert", _pre({"type": "Split", "pattern": {"String": "e"}, "invert": True}), "list_filter(string_split(text, 'e'), lambda x: x <> '')")
+_array("p_split_re", _pre({"type": "Split", "pattern": {"Regex": "[aeiou]+"}, "behavior": "Removed"}), _cut("[aeiou]+", r"\0"))
+_array("p_sequence", _pre({"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "Punctuation"}]}), f"flatten(list_transform({_extract(rf'[^{_WS}]+')}, lambda w: regexp_extract_all(w, '[^{_PUNCT}]+|[{_PUNCT}]+')))")
+
+_ADDED = [{"content": "the", "id": 1}, {"content": "ther", "id": 2}, {"content": "and", "id": 3}]
+_array("a_added_isolate", lambda c: splits.sections(c, _ADDED), _cut("(ther)|(the)|(and)", r"\1\2\3"))
+_STRIPPED = [{"content": "the", "id": 1, "lstrip": True, "rstrip": True}, {"content": "and", "id": 3, "rstrip": True}]
+_array("a_added_strip", lambda c: splits.sections(c, _STRIPPED), _cut(r"\s*(the)\s*|(and)\s*", r"\1\2"))
+_array("a_added_flags", lambda c: F.transform(splits.flagged(c, _ADDED), lambda x: F.concat(x["is_match"].cast("string"), F.lit(":"), x["text"])), f"list_transform({_cut('(ther)|(the)|(and)', chr(92) + '1' + chr(92) + '2' + chr(92) + '3')}, lambda x: CASE WHEN x IN ('the', 'ther', 'and') THEN 'true:' ELSE 'false:' END || x)")
+_array("a_split_remove", lambda c: splits.by_delimiter(c, " ", "removed"), _extract("[^ ]+"))
+_array("a_split_isolate", lambda c: splits.by_delimiter(c, " ", "isolated"), _extract("[^ ]+| "))
+_array("a_split_merge_prev", lambda c: splits.by_delimiter(c, " ", "mergedWithPrevious"), _extract("[^ ]+ ?| "))
+_array("a_split_merge_next", lambda c: splits.by_delimiter(c, " ", "mergedWithNext"), _extract(" ?[^ ]+| "))
+
+# ---- models --------------------------------------------------------------------------------------------------------
+
+#: Fixture merges, lowest rank first; every product is made by one merge only.
+MERGES = ["t h", "th e", "i n", "e r", "a n", "an d", "o n", "r e", "e n", "s t", "o u", "in g", "e s", "o r", "th at", "a t", "t i", "ti on", "e d", "i s", "l y", "d e", "l e", "q u", "qu e", "a i", "i e", "c h", "s ch", "m e"]
+MERGES.remove("th at")
+_LETTERS = [chr(c) for c in range(33, 127)]
+BPE_VOCAB = {t: i for i, t in enumerate(["<unk>", *_LETTERS, *(m.replace(" ", "") for m in MERGES)])}
+UNIGRAM = [["<unk>", 0.0], *([c, -6.0 - i / 100] for i, c in enumerate(_LETTERS)), *([m.replace(" ", ""), -3.0 - i / 10] for i, m in enumerate(MERGES))]
+SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
+TOP_WORDS = 500
+_WORDS_SQL = f"words AS (SELECT w, count(*) AS c FROM (SELECT unnest({_extract(rf'[^{_WS}{_PUNCT}]+|[{_PUNCT}]', 'lower(text)')}) AS w FROM documents) GROUP BY w)"
+_CHARS_SQL = "chars AS (SELECT DISTINCT unnest(regexp_extract_all(w, '(?s).')) AS t FROM words)"
+_TOP_SQL = f"top AS (SELECT w FROM words ORDER BY c DESC, w LIMIT {TOP_WORDS})"
+_VOCAB_SQL = f"{_WORDS_SQL}, {_CHARS_SQL}, {_TOP_SQL}, vocab AS (SELECT t FROM chars UNION SELECT '##' || t FROM chars UNION SELECT w FROM top UNION SELECT '##' || w FROM top)"
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct lower-cased words with their counts."""
+    words = pretokenizers.bert(F.lower("text"), F.lit(True))
+    return _docs(spark, d).select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+
+
+def _vocab(words: DataFrame) -> list[str]:
+    """Characters and the most frequent words: what a fixture vocabulary takes from the table, a bounded list."""
+    chars = [r[0] for r in words.select(F.explode(F.split("w", "")).alias("t")).filter("t <> ''").distinct().collect()]
+    top = [r[0] for r in words.orderBy(F.desc("c"), "w").limit(TOP_WORDS).select("w").collect()]
+    return sorted({*chars, *top} | {"##" + x for x in [*chars, *top]})
+
+
+def _wordpiece(spark: SparkSession, d: str) -> DataFrame:
+    words = _words(spark, d)
+    kernel = models.WordPiece({t: i for i, t in enumerate(SPECIALS + _vocab(words))})
+    return words.select("w", models.on_words(kernel)(F.col("w")).alias("a")).select("w", F.size("a").alias("n"), F.array_join("a", SEP).alias("toks"))
+
+
+QUERIES["m_wordpiece"] = _wordpiece
+SQL["m_wordpiece"] = f"""WITH RECURSIVE {_VOCAB_SQL},
+st(w, pos, toks, n) AS (
+  SELECT w, 1, CAST('' AS VARCHAR), 0 FROM words
+  UNION ALL
+  SELECT w, pos + i, CASE WHEN n = 0 THEN t ELSE toks || '{SEP}' || t END, n + 1 FROM (
+    SELECT st.w, st.pos, st.toks, st.n, l.i, v.t, row_number() OVER (PARTITION BY st.w ORDER BY l.i DESC) AS r
+    FROM st, range(1, 40) l(i), vocab v
+    WHERE v.t = (CASE WHEN st.pos > 1 THEN '##' ELSE '' END) || substr(st.w, st.pos, l.i) AND st.pos + l.i <= length(st.w) + 1) WHERE r = 1)
+SELECT w, CAST(CASE WHEN length(w) > 100 THEN 1 ELSE n END AS INTEGER) AS n, CASE WHEN length(w) > 100 THEN '[UNK]' ELSE toks END AS toks FROM st WHERE pos = length(w) + 1"""
+
+
+def _bpe(kernel: Callable[[str], list[str]]) -> Query:
+    return lambda spark, d: _words(spark, d).select("w", models.on_words(kernel)(F.col("w")).alias("a")).select("w", F.size("a").alias("n"), F.array_join("a", SEP).alias("toks"))
+
+
+_BPE = models.BytePairs(BPE_VOCAB, MERGES, "<unk>")
+QUERIES["m_bpe"] = _bpe(_BPE.pieces)
+QUERIES["m_bpe_bytefallback"] = _bpe(_BPE)
+_MERGES_SQL = "merges(a, b, r) AS (VALUES " + ", ".join(f"({_q(m.split()[0])}, {_q(m.split()[1])}, {i})" for i, m in enumerate(MERGES)) + ")"
+_BPE_SQL = f"""WITH RECURSIVE {_WORDS_SQL}, {_MERGES_SQL},
+st(w, s, k) AS (
+  SELECT w, regexp_replace(w, '(?s)(.)', chr(1) || '\\1' || chr(2), 'g'), 0 FROM words
+  UNION ALL
+  SELECT w, replace(s, chr(1) || a || chr(2) || chr(1) || b || chr(2), chr(1) || a || b || chr(2)), k + 1 FROM (
+    SELECT st.w, st.s, st.k, m.a, m.b, row_number() OVER (PARTITION BY st.w ORDER BY m.r) AS n
+    FROM st, merges m WHERE contains(st.s, chr(1) || m.a || chr(2) || chr(1) || m.b || chr(2))) WHERE n = 1),
+done AS (SELECT w, regexp_extract_all(arg_max(s, k), chr(1) || '([^' || chr(1) || chr(2) || ']+)' || chr(2), 1) AS a FROM st GROUP BY w)"""
+SQL["m_bpe"] = f"{_BPE_SQL} SELECT w, CAST(len(a) AS INTEGER) AS n, array_to_string(a, '{SEP}') AS toks FROM done"
+_FALL = r"flatten(list_transform(a, lambda p: CASE WHEN regexp_matches(p, '^[!-~]+$') THEN [p] ELSE regexp_extract_all(regexp_replace(hex(encode(p)), '(..)', '<0x\1>', 'g'), '<0x..>') END))"
+SQL["m_bpe_bytefallback"] = f"{_BPE_SQL} SELECT w, CAST(len(b) AS INTEGER) AS n, array_to_string(b, '{SEP}') AS toks FROM (SELECT w, {_FALL} AS b FROM done)"
+QUERIES["m_unigram"] = _bpe(models.Unigram(UNIGRAM))
+
+
+def _prefix_search(spark: SparkSession, d: str) -> DataFrame:
+    words = _words(spark, d)
+    vocab = spark.createDataFrame([(t,) for t in sorted({m.replace(" ", "") for m in MERGES})], "token string")
+    return models.prefixes(words, vocab, "w").select("word", "piece", F.col("length").cast("int").alias("length"))
+
+
+QUERIES["m_prefix_search"] = _prefix_search
+SQL["m_prefix_search"] = f"WITH {_WORDS_SQL}, pieces(t) AS (VALUES {', '.join(f'({_q(m.replace(chr(32), chr(0)[:0]))})' for m in MERGES)}) SELECT w AS word, t AS piece, CAST(length(t) AS INTEGER) AS length FROM words, pieces WHERE starts_with(w, t)"
+_array("m_basic", lambda c: pretokenizers.bert(F.lower(normalizers.strip_accents(c)), F.lit(True)), _extract(rf"[^{_WS}{_PUNCT}]+|[{_PUNCT}]", "lower(strip_accents(text))"))
+_KNOWN = ("the", "of", "and", "de", "la", "der", "que", "a", "in", "to")
+_UNK_SQL = f"list_transform({_extract(rf'[^{_WS}]+')}, lambda w: CASE WHEN w IN ({', '.join(map(_q, _KNOWN))}) THEN w ELSE '[UNK]' END)"
+
+
+def _with_unknown(c: Column) -> Column:
+    return F.transform(pretokenizers.whitespace(c, F.lit(True)), lambda w: F.when(w.isin(*_KNOWN), w).otherwise(F.lit("[UNK]")))
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).select("doc_id", _with_unknown(F.col("text")).alias("a"))
+    return rows.select("doc_id", models.fuse_column(F.col("a"), "[UNK]").alias("a")).select("doc_id", F.size("a").alias("n"), F.array_join("a", SEP).alias("toks"))
+
+
+QUERIES["m_fuse_unk"] = _fused
+SQL["m_fuse_unk"] = f"SELECT doc_id, CAST(len(b) AS INTEGER) AS n, array_to_string(b, '{SEP}') AS toks FROM (SELECT doc_id, list_filter(a, lambda x, i: NOT (x = '[UNK]' AND i > 1 AND a[i - 1] = '[UNK]')) AS b FROM (SELECT doc_id, {_UNK_SQL} AS a FROM documents))"
+_VALUES = ", ".join(f"({_q(w)}, {i})" for i, w in enumerate(_KNOWN))
+
+
+def _word_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.posexplode(pretokenizers.whitespace(F.col("text"), F.lit(True))).alias("pos", "token"))
+
+
+def _known(spark: SparkSession) -> DataFrame:
+    return models.vocabulary(spark, {w: i for i, w in enumerate(_KNOWN)})
+
+
+QUERIES["m_token_to_id"] = lambda spark, d: models.to_ids(_word_rows(spark, d), _known(spark), 99).groupBy("id").agg(F.count("*").alias("n"), F.sum("pos").cast("long").alias("places"))
+SQL["m_token_to_id"] = f"SELECT CAST(coalesce(v.id, 99) AS INTEGER) AS id, count(*) AS n, CAST(sum(pos - 1) AS BIGINT) AS places FROM (SELECT unnest(a) AS token, unnest(range(1, len(a) + 1)) AS pos FROM (SELECT {_extract(rf'[^{_WS}]+')} AS a FROM documents)) d LEFT JOIN (VALUES {_VALUES}) v(token, id) ON d.token = v.token GROUP BY 1"
+QUERIES["m_id_to_token"] = lambda spark, d: models.to_tokens(_docs(spark, d).select("doc_id", (F.col("doc_id") % 12).cast("int").alias("id")), _known(spark)).select("doc_id", "id", "token")
+SQL["m_id_to_token"] = f"SELECT doc_id, CAST(doc_id % 12 AS INTEGER) AS id, v.token FROM documents LEFT JOIN (VALUES {_VALUES}) v(token, id) ON doc_id % 12 = v.id"
+QUERIES["m_vocab_merge"] = lambda spark, d: models.vocabulary(spark, {w: i for i, w in enumerate(_KNOWN)}, {"the": 100, "<s>": 101})
+SQL["m_vocab_merge"] = f"SELECT token, CAST(CASE token WHEN 'the' THEN 100 ELSE id END AS INTEGER) AS id FROM (VALUES {_VALUES}, ('<s>', 101)) v(token, id)"
+QUERIES["m_merges"] = lambda spark, d: models.merges(spark, MERGES)
+SQL["m_merges"] = f"WITH {_MERGES_SQL} SELECT a AS \"left\", b AS \"right\", CAST(r AS INTEGER) AS rank FROM merges"
+
+_GLUED_SQL = f"flatten(list_transform({_extract(rf'[^{_WS}]+')}, lambda w: CASE WHEN length(w) > 4 THEN [w[1:4], '##' || w[5:]] ELSE [w] END))"
+
+
+def _glued(c: Column) -> Column:
+    return F.flatten(F.transform(pretokenizers.whitespace(c, F.lit(True)), lambda w: F.when(F.length(w) > 4, F.array(F.left(w, F.lit(4)), F.concat(F.lit("##"), F.substr(w, F.lit(5))))).otherwise(F.array(w))))
+
+
+_text("m_bert_detok", lambda c: models.detokenize(_glued(c)), f"array_to_string({_extract(rf'[^{_WS}]+')}, ' ')")
+
+# ---- post-processors -----------------------------------------------------------------------------------------------
+
+_A, _A_SQL = (lambda c: pretokenizers.punctuation(c, F.lit(True))), _extract(rf"[^{_PUNCT}]+|[{_PUNCT}]+")
+_B, _B_SQL = (lambda c: F.array(F.left(c, F.lit(3)), F.lit(" b "))), "[text[1:3], ' b ']"
+_SINGLE = [{"SpecialToken": {"id": "[CLS]"}}, {"Sequence": {"id": "A"}}, {"SpecialToken": {"id": "[SEP]"}}]
+_PAIR = [*_SINGLE, {"Sequence": {"id": "B"}}, {"SpecialToken": {"id": "[SEP]"}}]
+_TRIM = "list_transform({}, lambda x: regexp_replace(regexp_replace(x, '^ +', ' '), ' +$', ' '))"
+
+
+def _post(name: str, config: dict, sql: str, pair: bool = False, special: bool = True) -> None:
+    step = postprocessors.build(config)
+    _array(name, lambda c: step(_A(c), _B(c) if pair else None, special), sql)
+
+
+_cls = "list_concat(['[CLS]'], {}, ['[SEP]'])".format
+_post("o_template", {"type": "TemplateProcessing", "single": _SINGLE, "pair": _PAIR}, _cls(_A_SQL))
+_post("o_template_nospecial", {"type": "TemplateProcessing", "single": _SINGLE, "pair": _PAIR}, _A_SQL, special=False)
+_post("o_template_pair", {"type": "TemplateProcessing", "single": _SINGLE, "pair": _PAIR}, f"list_concat({_cls(_A_SQL)}, {_B_SQL}, ['[SEP]'])", pair=True)
+_post("o_bytelevel", {"type": "ByteLevel"}, _A_SQL)
+_post("o_bert", {"type": "BertProcessing", "sep": ["[SEP]", 1], "cls": ["[CLS]", 2]}, _cls(_A_SQL))
+_post("o_bert_pair", {"type": "BertProcessing", "sep": ["[SEP]", 1], "cls": ["[CLS]", 2]}, f"list_concat({_cls(_A_SQL)}, {_B_SQL}, ['[SEP]'])", pair=True)
+_post("o_roberta", {"type": "RobertaProcessing", "sep": ["[SEP]", 1], "cls": ["[CLS]", 2]}, _cls(_TRIM.format(_A_SQL)))
+_post("o_roberta_pair", {"type": "RobertaProcessing", "sep": ["[SEP]", 1], "cls": ["[CLS]", 2]}, f"list_concat({_cls(_TRIM.format(_A_SQL))}, ['[SEP]'], {_TRIM.format(_B_SQL)}, ['[SEP]'])", pair=True)
+_post("o_sequence", {"type": "Sequence", "processors": [{"type": "ByteLevel"}, {"type": "BertProcessing", "sep": ["[SEP]", 1], "cls": ["[CLS]", 2]}]}, _cls(f"list_concat({_A_SQL}, {_B_SQL})"), pair=True)
+_array("o_from_settings", lambda c: postprocessors.build(postprocessors.from_special_tokens({"add_bos_token": True, "bos_token": "<s>", "add_eos_token": True, "eos_token": {"content": "</s>"}}, None))(_A(c), None, True), f"list_concat(['<s>'], {_A_SQL}, ['</s>'])")
+
+# ---- decoders ------------------------------------------------------------------------------------------------------
+
+
+def _decode(name: str, config: dict, arrays: Callable[[Column], Column], sql: str) -> None:
+    step = decoders.build(config)
+    _array(name, lambda c: step(arrays(c)), sql)
+
+
+_meta = lambda c: pretokenizers.metaspace(False, "▁")(c, F.lit(True))
+_META_SQL = f"regexp_extract_all({_SPACED}, '▁?[^▁]+|▁')"
+_decode("d_wordpiece", {"type": "WordPiece", "prefix": "##", "cleanup": True}, _glued, rf"list_transform({_GLUED_SQL}, lambda x, i: replace(regexp_replace(CASE WHEN i = 1 THEN x WHEN starts_with(x, '##') THEN x[3:] ELSE ' ' || x END, '\s([.?!,]|''\s|n''t|''m|''s|''ve|''re)', '\1', 'g'), ' do not', ' don''t'))")
+_decode("d_bytelevel", {"type": "ByteLevel"}, lambda c: pretokenizers.byte_level()(c, F.lit(True)), "[text]")
+_decode("d_replace", {"type": "Replace", "pattern": {"String": "▁"}, "content": " "}, _meta, f"list_transform({_META_SQL}, lambda x: replace(x, '▁', ' '))")
+_decode("d_bytefallback", {"type": "ByteFallback"}, lambda c: F.array(F.lit("<0xE2>"), F.lit("<0x82>"), F.lit("<0xAC>"), F.left(c, F.lit(9)), F.lit("<0x41>"), F.substr(c, F.lit(10)), F.lit("<0x42>")), "['€', text[1:9], 'A', text[10:]]")
+_decode("d_fuse", {"type": "Fuse"}, _meta, f"[{_SPACED}]")
+_decode("d_strip", {"type": "Strip", "content": "▁", "start": 1, "stop": 2}, _A, f"list_transform({_A_SQL}, lambda x: regexp_replace(regexp_replace(x, '^ {{0,1}}', ''), ' {{0,2}}$', ''))")
+_decode("d_metaspace", {"type": "Metaspace", "replacement": "▁", "addPrefixSpace": True}, lambda c: pretokenizers.metaspace(True, "▁")(c, F.lit(True)), f"list_transform(regexp_extract_all(CASE WHEN starts_with({_SPACED}, '▁') THEN {_SPACED} ELSE '▁' || {_SPACED} END, '▁?[^▁]+|▁'), lambda x, i: CASE WHEN i = 1 AND starts_with(x, '▁') THEN replace(x[2:], '▁', ' ') ELSE replace(x, '▁', ' ') END)")
+_decode("d_sequence", {"type": "Sequence", "decoders": [{"type": "Replace", "pattern": {"String": "▁"}, "content": " "}, {"type": "Fuse"}, {"type": "Strip", "start": 1}]}, _meta, "[regexp_replace(replace(replace(text, ' ', '▁'), '▁', ' '), '^ ', '')]")
+_CLEAN_SQL = functools.reduce(lambda x, p: f"replace({x}, {_q(p[0])}, {_q(p[1])})", decoders.CLEAN_UP, f"array_to_string({_extract(rf'[^{_WS}{_PUNCT}]+|[{_PUNCT}]')}, ' ')")
+_text("d_cleanup", lambda c: decoders.clean_up(F.array_join(pretokenizers.bert(c, F.lit(True)), " ")), _CLEAN_SQL)
+
+_BYTE_SETTINGS = {"tokenizer_class": "GPT2Tokenizer", "unk_token": "<|end|>", "bos_token": "<|end|>"}
+_BYTE_DATA = {"added_tokens": [{"id": 300, "content": "<|end|>", "special": True}], "pre_tokenizer": {"type": "ByteLevel"}, "decoder": {"type": "ByteLevel"}, "model": {"vocab": {c: i for i, c in enumerate(bytemap.ALPHABET)} | {"Ġt": 256, "he": 257, "Ġthe": 258}, "merges": ["Ġ t", "h e", "Ġt he"]}}
+
+
+def _roundtrip(skip: bool) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = Tokenizer({**_BYTE_SETTINGS, "clean_up_tokenization_spaces": False}, {**_BYTE_DATA, "added_tokens": [] if not skip else _BYTE_DATA["added_tokens"]})
+        docs = _docs(spark, d)
+        if skip:
+            ids = F.concat(F.array(F.lit(300)), F.transform(F.split(F.regexp_replace(F.left("text", F.lit(500)), "[^a-z]", ""), ""), lambda c: F.ascii(c)), F.array(F.lit(300)))
+            plain = F.filter(ids, lambda i: i > 0)
+            # letters are their own bytes and ids here
+            return docs.select("doc_id", t.decode(plain, skip_special=True).alias("out"))
+        return t.encode(docs).select("doc_id", t.decode(F.col("ids")).alias("out"))
+
+    return run
+
+
+QUERIES["d_roundtrip"] = _roundtrip(False)
+SQL["d_roundtrip"] = "SELECT doc_id, text AS out FROM documents"
+QUERIES["d_skip_special"] = _roundtrip(True)
+SQL["d_skip_special"] = "SELECT doc_id, regexp_replace(text[1:500], '[^a-z]', '', 'g') AS out FROM documents"
+
+# ---- chat ----------------------------------------------------------------------------------------------------------
+
+_CHATML = "{% for m in messages %}{{ '<|im_start|>' + m['role'] + '\\n' + m.content + '<|im_end|>\\n' }}{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}"
+_NAMED = [{"name": "default", "template": _CHATML}, {"name": "short", "template": "{{ bos_token }}{% for m in messages %}{% if not loop.first %}|{% endif %}{{ m['role'] | upper }}={{ m['content'] | trim }}{% endfor %}"}]
+_CHAT_SQL = "string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text)"
+
+
+def _chat(make: Callable[[Column], Column]) -> Query:
+    return lambda spark, d: chat.conversations(_table(spark, d, "conversations")).select("conv_id", make(F.col("messages")).alias("out"))
+
+
+QUERIES["c_chatml"] = _chat(lambda m: chat.chatml(m, False))
+SQL["c_chatml"] = f"SELECT conv_id, {_CHAT_SQL} AS out FROM conversations GROUP BY conv_id"
+QUERIES["c_generation_prompt"] = _chat(chat.chatml)
+SQL["c_generation_prompt"] = f"SELECT conv_id, {_CHAT_SQL} || '<|im_start|>assistant' || chr(10) AS out FROM conversations GROUP BY conv_id"
+QUERIES["c_template"] = _chat(lambda m: chat.render(m, {"chat_template": _NAMED}))
+SQL["c_template"] = SQL["c_generation_prompt"]
+QUERIES["c_named_template"] = _chat(lambda m: chat.render(m, {"chat_template": _NAMED, "bos_token": "<s>"}, name="short"))
+SQL["c_named_template"] = r"SELECT conv_id, '<s>' || string_agg(upper(role) || '=' || regexp_replace(text, '^\s+|\s+$', '', 'g'), '|' ORDER BY turn, role, text) AS out FROM conversations GROUP BY conv_id"
+_array("c_truncate", lambda c: chat.truncate(pretokenizers.whitespace(c, F.lit(True)), 20, 8), f"({_extract(rf'[^{_WS}]+')})[1:8]")
+
+# ---- sources -------------------------------------------------------------------------------------------------------
+
+QUERIES["s_glob"] = lambda spark, d: manifest.select_files(_table(spark, d, "pages").select(F.col("url").alias("path")), ["https://*/en/*", "*page=?*"])
+SQL["s_glob"] = "SELECT DISTINCT url AS path FROM pages WHERE url GLOB 'https://*/en/*' OR url GLOB '*page=?*'"
+_TAG = "CASE page_id % 3 WHEN 0 THEN 'W/' ELSE '' END || '\"' || md5(url) || '\"'"
+QUERIES["s_etag"] = lambda spark, d: _table(spark, d, "pages").select("page_id", strings.etag(F.concat(F.when(F.col("page_id") % 3 == 0, "W/").otherwise(""), F.lit('"'), F.md5("url"), F.lit('"'))).alias("etag"))
+SQL["s_etag"] = "SELECT page_id, md5(url) AS etag FROM pages"
+QUERIES["s_hash_valid"] = lambda spark, d: _table(spark, d, "pages").select("page_id", strings.is_sha256(F.sha2("url", 256)).alias("full"), strings.is_commit(F.sha1("url")).alias("commit"), strings.is_sha256(F.concat(F.col("page_id").cast("string"), F.sha2("url", 256))).alias("long"))
+SQL["s_hash_valid"] = "SELECT page_id, true AS full, true AS \"commit\", false AS long FROM pages"
+QUERIES["s_sha256"] = lambda spark, d: _table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("sha256"))
+SQL["s_sha256"] = "SELECT page_id, sha256(html) AS sha256 FROM pages"
+
+
+def _sync(spark: SparkSession, d: str) -> DataFrame:
+    pages = _table(spark, d, "pages").withColumn("path", F.col("page_id").cast("string"))
+    k = F.col("page_id") % 6
+    remote = pages.select("path", F.when(k == 5, "main").otherwise(F.left(F.sha2("url", 256), F.lit(40))).alias("commit"), F.sha2("html", 256).alias("etag"))
+    local = pages.filter(k != 4).select("path", F.when(k < 1, F.left(F.sha2("url", 256), F.lit(40))).when(k < 3, "0").alias("local_commit"), F.when(k == 1, F.sha2("html", 256)).when(k < 3, "0").alias("local_etag"), F.when(k == 2, F.sha2("html", 256)).otherwise(F.sha2("url", 256)).alias("sha256"))
+    return manifest.sync(remote, local).select("path", "action")
+
+
+QUERIES["s_sync_decision"] = _sync
+SQL["s_sync_decision"] = "SELECT CAST(page_id AS VARCHAR) AS path, CASE page_id % 6 WHEN 0 THEN 'keep' WHEN 1 THEN 'refresh' WHEN 2 THEN 'refresh' ELSE 'fetch' END AS action FROM pages"
+QUERIES["s_progress"] = lambda spark, d: manifest.progress(_table(spark, d, "benchmark"), "item_id").select("item_id", "done", "total", "fraction")
+SQL["s_progress"] = "SELECT item_id, CAST(row_number() OVER (ORDER BY item_id) AS INTEGER) AS done, count(*) OVER () AS total, row_number() OVER (ORDER BY item_id) / count(*) OVER () AS fraction FROM benchmark"
+QUERIES["s_file_url"] = lambda spark, d: _table(spark, d, "benchmark").select("item_id", manifest.file_url(F.lit("https://hub"), F.lit("a/b"), F.concat(F.col("item_id").cast("string"), F.lit(".json"))).alias("url"))
+SQL["s_file_url"] = "SELECT item_id, 'https://hub/a/b/resolve/main/' || item_id || '.json' AS url FROM benchmark"
+
+
+def _read_metadata(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, "a\nb\nc\n").when(F.col("item_id") % 3 == 1, "a").otherwise(F.concat(F.lit("c1\ne1\n"), F.col("item_id").cast("string"), F.lit(".0\n"))).alias("t"))
+    return rows.withColumn("m", manifest.read_metadata(F.col("t"))).select("item_id", F.col("m.commit").alias("commit"), F.col("m.etag").alias("etag"), F.unix_timestamp(F.col("m.timestamp")).alias("seconds"))
+
+
+QUERIES["s_read_metadata"] = _read_metadata
+SQL["s_read_metadata"] = "SELECT item_id, CASE WHEN item_id % 3 = 2 THEN 'c1' END AS \"commit\", CASE WHEN item_id % 3 = 2 THEN 'e1' END AS etag, CASE WHEN item_id % 3 = 2 THEN item_id END AS seconds FROM benchmark"
+
+
+def _head(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id") % 2 == 0
+    headers = F.when(k, F.create_map(F.lit("x-repo-commit"), F.lit("c"), F.lit("x-linked-etag"), F.concat(F.lit('W/"'), F.md5("url"), F.lit('"')), F.lit("x-linked-size"), F.lit("12"), F.lit("location"), F.lit("elsewhere"))).otherwise(F.create_map(F.lit("etag"), F.md5("url"), F.lit("content-length"), F.lit("x")))
+    rows = _table(spark, d, "pages").select("page_id", "url", headers.alias("h"), F.when(k, 302).otherwise(200).alias("status"))
+    return rows.withColumn("m", manifest.metadata(F.col("h"), F.col("url"), F.col("status"))).select("page_id", "m.*")
+
+
+QUERIES["s_head_metadata"] = _head
+SQL["s_head_metadata"] = "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'c' END AS \"commit\", md5(url) AS etag, CASE WHEN page_id % 2 = 0 THEN 'elsewhere' ELSE url END AS location, CAST(CASE WHEN page_id % 2 = 0 THEN 12 END AS BIGINT) AS size FROM pages"
+
+# ---- functions -----------------------------------------------------------------------------------------------------
+
+QUERIES["f_names"] = lambda spark, d: _table(spark, d, "events").select("event_type").distinct().select("event_type", strings.capitalize(F.col("event_type")).alias("capital"), strings.camel(F.concat(F.col("event_type"), F.lit("_type_name"))).alias("camel"), strings.uncamel(F.concat(F.lit("some"), F.initcap("event_type"), F.lit("Name"))).alias("snake"))
+SQL["f_names"] = "SELECT event_type, upper(event_type[1]) || lower(event_type[2:]) AS capital, event_type || 'TypeName' AS camel, 'some_' || event_type || '_name' AS snake FROM (SELECT DISTINCT event_type FROM events)"
+
+# ---- whole pipelines -----------------------------------------------------------------------------------------------
+
+
+def _by_lang(spark: SparkSession, d: str) -> DataFrame:
+    words = pretokenizers.byte_level()(F.col("text"), F.lit(True))
+    return _table(spark, d, "documents").select("lang", F.size(words).alias("n")).groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+
+
+QUERIES["e_tokens_by_lang"] = _by_lang
+SQL["e_tokens_by_lang"] = f"SELECT lang, count(*) AS docs, CAST(sum(len({_PIECES})) AS BIGINT) AS tokens FROM documents GROUP BY lang"
+
+
+def _bert_encode(spark: SparkSession, d: str) -> DataFrame:
+    vocab = {t: i for i, t in enumerate(SPECIALS + _vocab(_words(spark, d)))}
+    t = Tokenizer({"tokenizer_class": "BertTokenizer"}, {"normalizer": {"type": "BertNormalizer", "strip_accents": False}, "pre_tokenizer": {"type": "BertPreTokenizer"}, "post_processor": {"type": "BertProcessing", "sep": ["[SEP]", 3], "cls": ["[CLS]", 2]}, "model": {"vocab": vocab}})
+    return t.encode(_docs(spark, d)).select("doc_id", F.size("ids").alias("n"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+QUERIES["m_bert_encode"] = _bert_encode
+
+
+def _byte_encode(spark: SparkSession, d: str) -> DataFrame:
+    return Tokenizer(_BYTE_SETTINGS, {**_BYTE_DATA, "added_tokens": []}).encode(_docs(spark, d)).select("doc_id", F.size("ids").alias("n"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+QUERIES["e_encode_bytes"] = _byte_encode
+
+
+def _llama(spark: SparkSession, d: str) -> DataFrame:
+    data = {"added_tokens": [{"id": 1, "content": "<s>", "special": True}, {"id": 2, "content": "the", "special": False}], "model": {"vocab": {"<unk>": 0, **{c: i + 300 for i, c in enumerate(["▁", *_LETTERS])}, **{f"<0x{b:02X}>": b + 3 for b in range(256)}}, "merges": []}}
+    t = Tokenizer({"tokenizer_class": "LlamaTokenizerFast", "legacy": False, "add_bos_token": True, "bos_token": "<s>", "unk_token": "<unk>"}, data)
+    return t.encode(_docs(spark, d)).select("doc_id", F.size("ids").alias("n"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+QUERIES["e_encode_llama"] = _llama
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
