@@ -14,6 +14,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenloom.sources.config import TokenizerError
 
@@ -173,7 +174,7 @@ def _remembering(kernel: Callable[[str], list[str]]) -> Callable[[str], list[str
 def on_words(kernel: Callable[[str], list[str]]) -> Callable[[Column], Column]:
     """A column of words to a column of token arrays; null stays null."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = _remembering(kernel)
         for words in batches:
@@ -185,7 +186,7 @@ def on_words(kernel: Callable[[str], list[str]]) -> Callable[[Column], Column]:
 def on_arrays(kernel: Callable[[str], list[str]]) -> Callable[[Column], Column]:
     """A column of word arrays to the flat tokens of all their words; null stays null."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = _remembering(kernel)
         for arrays in batches:

@@ -10,6 +10,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenloom.functions.patterns import WS, literal, replacement, to_java
 from tokenloom.sources.config import TokenizerError, get
@@ -23,7 +24,7 @@ _CONTROL_STRICT = re.compile("[\x01-\x08\x0b\x0e-\x1f\x7f\x8f\x9f]")
 def unicode_form(form: str) -> Normalizer:
     """NFC, NFD, NFKC or NFKD.  Spark has no built-in, so this is an Arrow batch function; ASCII texts pass untouched."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def normal(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
 
@@ -34,7 +35,7 @@ def precompiled(strip_controls: bool = False) -> Normalizer:
     """NFKC around the full-width tilde.  As it is defined a control character only goes after an "r"; strip_controls removes all."""
     pattern = _CONTROL_STRICT if strip_controls else _CONTROL
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def normal(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else _FULL_WIDTH_TILDE.join(unicodedata.normalize("NFKC", p) for p in pattern.sub("", t).split(_FULL_WIDTH_TILDE)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenloom.operators import chat, decoders, models, normalizers, postprocessors, pretokenizers, splits
 from tokenloom.sources import folder
@@ -130,7 +131,7 @@ class Tokenizer:
         """Ids of a token array by the vocabulary; null where a token has none and there is no unknown id."""
         vocab, other = self.vocab, self.unknown_id
 
-        @F.pandas_udf("array<int>")
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def look(arrays: pd.Series) -> pd.Series:
             return arrays.map(lambda ts: None if ts is None else [vocab.get(t, other) for t in ts])
 
@@ -147,7 +148,7 @@ class Tokenizer:
         """Text of an id array: special ids dropped if asked for, unknown ids dropped, decoder, joined, tidied."""
         tokens: dict[int, str] = {i: t for t, i in self.vocab.items()}
 
-        @F.pandas_udf("array<string>")
+        @F.pandas_udf(T.ArrayType(T.StringType()))
         def look(arrays: pd.Series) -> pd.Series:
             return arrays.map(lambda xs: None if xs is None else [tokens[int(x)] for x in xs if x is not None and int(x) in tokens])
 
