@@ -112,7 +112,7 @@ def grow(x: np.ndarray, trees: int, leaf: int, seed: int = 17) -> Forest:
             return -len(sizes)
 
         node(np.arange(len(x)))
-        forest.trees.append(Tree(np.array(directions).reshape(len(cuts), -1), np.array(cuts), np.array(children, dtype=np.int64).reshape(len(cuts), 2), np.array(sizes)))
+        forest.trees.append(Tree(np.array(directions).reshape(len(cuts), lifted.shape[-1]), np.array(cuts), np.array(children, dtype=np.int64).reshape(len(cuts), 2), np.array(sizes)))
     return forest
 
 

@@ -233,7 +233,7 @@ def decode(data: bytes) -> Iterator[Frame]:
             box[:] = palette[seen]
         else:
             box[(seen != transparent)] = palette[seen[seen != transparent]]
-        yield Frame(indices, left, top, canvas.copy() if saved is not None or disposal != 2 else canvas, delay, clock, disposal, transparent)
+        yield Frame(indices, left, top, canvas.copy(), delay, clock, disposal, transparent)
         clock += delay
         if disposal == 2:
             box = canvas[top : top + seen.shape[0], left : left + seen.shape[1]]

@@ -62,5 +62,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard, op3_media_gif, op4_toxicity_noisy_or, op5_language_spans, op6_mix_sources, op7_forest_search, op8_license_windows, op9_pack_sequences, op10_warc_zstd)}
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: All pairs of documents that share a shingle, and what can be reached by those that link.
+_JACCARD = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) >= 3 THEN list_transform(range(1, len(a) - 1), lambda i: array_to_string(a[i:i + 2], ' ')) WHEN len(a) > 0 THEN [array_to_string(a, ' ')] ELSE [] END) AS x FROM w),
+n AS (SELECT w.doc_id, count(s.x) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+p AS (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS k FROM s l JOIN s r ON l.x = r.x AND l.doc_id <> r.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n na ON p.a = na.doc_id JOIN n nb ON p.b = nb.doc_id WHERE 100 * p.k >= 90 * (na.n + nb.n - p.k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN reach r ON n.doc_id = r.a GROUP BY n.doc_id, n.n"""
+
+
+def _license_sql() -> str:
+    """Every window of every document against every template."""
+    rows = []
+    for name, text in licenses.TEMPLATES.items():
+        w = licenses.words(text)
+        own = {" ".join(w[i : i + licenses.SIZE]) for i in range(len(w) - licenses.SIZE + 1)}
+        rows += [f"('{name}', {len(own)}, {licenses.window(len(w))[0]}, {licenses.window(len(w))[1]}, '{x}')" for x in sorted(own)]
+    return rf"""WITH own(license, n, wide, step, x) AS (VALUES {", ".join(rows)}),
+w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[a-z0-9]+') AS a FROM documents),
+s AS (SELECT doc_id, i - 1 AS p, array_to_string(a[i:i + 4], ' ') AS x FROM (SELECT doc_id, a, unnest(range(1, len(a) - 3)) AS i FROM w)),
+m AS (SELECT doc_id, license, n, x, unnest(range(CAST(greatest(0, ceil((p - wide + 5) / step)) AS BIGINT) * step, p + 1, step)) AS place FROM s JOIN own USING (x)),
+c AS (SELECT doc_id, license, place, count(DISTINCT x) / n AS containment FROM m GROUP BY doc_id, license, n, place)
+SELECT doc_id, license, max(containment) AS containment, count(*) AS windows, CAST(min(place) AS INTEGER) AS first_word FROM c WHERE containment >= {licenses.LEAST} GROUP BY doc_id, license"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ngram_jaccard": _JACCARD, "op8_license_windows": _license_sql()}
