@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from tokenloom.llm._common import materialise
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Distinct pre-tokens that a Python worker remembers before it starts anew.
-MEMORY = 600_000
+MEMORY = 900_000
 #: Pieces that one packing task holds at most on average.
 TASK_PIECES = 20_000
 
@@ -38,28 +39,36 @@ class WordEncoder:
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.odd = regex.compile(r"[\x1c-\x1f\x85İΣς]|<\|(?:start|end)oftext\|>", regex.IGNORECASE)
+        self.odd = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "İ", "Σ", "ς", "<|startoftext|>", "<|endoftext|>")
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def split(self, word: str) -> list[str]:
+        """A word's pre-tokens; the pattern is only needed where more than a last full stop or comma isn't a letter."""
+        if word.isalpha():
+            return [word]
+        if word[-1] in ".," and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.pattern.findall(word)
+
     def learn(self, missing: list[str]) -> None:
-        split = {w: self.pattern.findall(w) for w in missing}
-        new = list({p for ps in split.values() for p in ps} - self.pieces.keys())
+        split = [self.split(w) for w in missing]
+        new = [p for p in {p for ps in split for p in ps} if p not in self.pieces]
         for p, e in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.pieces[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, ps in split.items():
-            self.words[w] = b"".join([self.pieces[p] for p in ps])
+            self.pieces[p] = array("I", e.ids).tobytes()
+        get = self.pieces.__getitem__
+        for w, ps in zip(missing, split, strict=True):
+            self.words[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > MEMORY:
             self.words.clear()
             self.pieces.clear()
-        words = [None if self.odd.search(t) else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for t in texts]
-        missing = set().union(*[w for w in words if w is not None]) - self.words.keys()
-        if missing:
-            self.learn(list(missing))
+        words = [None if any(x in t for x in self.odd) else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for t in texts]
+        if missing := [w for w in set().union(*[w for w in words if w is not None]) if w not in self.words]:
+            self.learn(missing)
         get = self.words.__getitem__
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
+        return [array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
 
 @functools.cache
