@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions import bytemap, strings
 from tokenloom.operators import chat, decoders, models, normalizers, postprocessors, pretokenizers, splits
 from tokenloom.operators.templates import Template
-from tokenloom.sources import config, folder
+from tokenloom.sources import config, folder, manifest
 
 
 def apply(spark, texts, make):
@@ -221,3 +221,25 @@ def test_folder(tmp_path):
     assert folder.load(str(tmp_path)).resolved()["bos_token"] == "x"
     with pytest.raises(config.TokenizerError):
         config.parse("[1]")
+
+
+def test_local_files(spark, tmp_path):
+    (tmp_path / "repo" / "sub").mkdir(parents=True)
+    (tmp_path / "repo" / "a.json").write_text("x")
+    (tmp_path / "repo" / "sub" / "b.bin").write_bytes(b"yz")
+    got = {r.path: (r.size, r.sha256[:6]) for r in manifest.local_files(spark, str(tmp_path / "repo")).collect()}
+    assert got == {"a.json": (1, "2d7116"), "sub/b.bin": (2, got["sub/b.bin"][1])}
+    assert [r.path for r in manifest.local_files(spark, str(tmp_path / "repo"), "*.json").collect()] == ["a.json"]
+
+
+def test_strict_ids(spark):
+    rows = spark.createDataFrame([([1] * 3,)], "ids array<int>")
+    assert rows.select(models.strict_ids(F.col("ids"), 3)).first()[0] == [1, 1, 1]
+    with pytest.raises(Exception, match="tooLong"):
+        rows.select(models.strict_ids(F.col("ids"), 2)).collect()
+
+
+def test_sync_of_missing_values(spark):
+    remote = spark.createDataFrame([("a", None, None), ("b", "f" * 40, "e"), ("c", "f" * 40, "0" * 64), ("d", "main", "e")], "path string, commit string, etag string")
+    local = spark.createDataFrame([("b", "f" * 40, "x", "y"), ("c", None, None, "0" * 64), ("d", "main", "e", "z")], "path string, local_commit string, local_etag string, sha256 string")
+    assert {r.path: r.action for r in manifest.sync(remote, local).collect()} == {"a": "fetch", "b": "keep", "c": "refresh", "d": "refresh"}

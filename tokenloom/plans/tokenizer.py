@@ -74,6 +74,11 @@ class Tokenizer:
         d = folder.load(path)
         return cls(d.resolved(), d.data)
 
+    @classmethod
+    def from_pretrained(cls, name: str, registry: str) -> Tokenizer:
+        """By name from a local registry: a folder of description folders.  Nothing is downloaded."""
+        return cls.from_folder(f"{registry}/{name}")
+
     # ---- stages
 
     def normalize(self, c: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import strings
+from tokenloom.functions.patterns import literal
 
 
 def select_files(manifest: DataFrame, globs: list[str], path_col: str = "path") -> DataFrame:
@@ -13,6 +14,13 @@ def select_files(manifest: DataFrame, globs: list[str], path_col: str = "path")
     return manifest.filter(strings.matches_glob(F.col(path_col), globs)).dropDuplicates([path_col])
 
 
+def local_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """path (below the folder), size and sha256 of the files below a folder, read by Spark wherever that lies."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    below = F.regexp_replace("path", "^.*" + literal(folder.rstrip("/").rpartition("/")[2]) + "/", "")
+    return files.select(below.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
 def file_url(endpoint: Column, repo: Column, path: Column) -> Column:
     """The place of a file of the main revision; repository types other than models resolve to the same place."""
     return F.concat_ws("/", endpoint, repo, F.lit("resolve"), F.lit("main"), path)
