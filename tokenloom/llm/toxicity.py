@@ -89,25 +89,34 @@ def fit(texts: list[str], labels: list[int], vocabulary: int = VOCABULARY, steps
     y = np.array(labels, dtype=np.float64)
     if not (y == 1).any() or not (y == 0).any():
         return NoisyOr({}, -20.0)
-    split = [[w for s in sentences(t)[0] if (w := frozenset(s.split()))] for t in texts]
-    seen = [Counter(), Counter()]
-    for doc, label in zip(split, labels, strict=True):
-        seen[label].update({f for w in set().union(*doc) for f in features(w)})
     n0, n1 = (y == 0).sum(), (y == 1).sum()
 
-    def apart(w: bytes) -> float:
-        a, b = seen[1][w], seen[0][w]
+    def sets(text: str) -> list[set[bytes]]:  # made anew in each pass, so that no more than one document's is held
+        return [w for s in sentences(text)[0] if (w := {*s.split()})]
+
+    toxic: Counter[bytes] = Counter()
+    for text, label in zip(texts, labels, strict=True):
+        if label == 1:
+            toxic.update({f for w in set().union(*sets(text)) for f in features(w)})
+    toxic = Counter({f: n for f, n in toxic.items() if n >= 3})
+    clean_in: Counter[bytes] = Counter()
+    for text, label in zip(texts, labels, strict=True):
+        if label == 0:
+            clean_in.update({f for w in set().union(*sets(text)) for f in features(w) if f in toxic})
+
+    def apart(f: bytes) -> float:
+        a, b = toxic[f], clean_in[f]
         p = (a + b + 1) / (n0 + n1 + 2)
         return (a - n1 * p) / np.sqrt(n1 * p * (1 - p) + 0.05)
 
-    gap = {w: apart(w) for w in seen[1] if seen[1][w] >= 3}
-    known = sorted((w for w, x in gap.items() if x >= APART), key=lambda w: (-gap[w], w))[:vocabulary]
-    index = {w: i for i, w in enumerate(known)}
-    empty = np.zeros(len(split))
+    gap = {f: apart(f) for f in toxic}
+    known = sorted((f for f, x in gap.items() if x >= APART), key=lambda f: (-gap[f], f))[:vocabulary]
+    index = {f: i for i, f in enumerate(known)}
+    empty = np.zeros(len(texts))
     row, column, owner = [], [], []
-    for d, doc in enumerate(split):
-        for s in doc:
-            if hit := [index[f] for w in s for f in features(w) if f in index]:
+    for d, text in enumerate(texts):
+        for s in sets(text):
+            if hit := [index[f] for w in sorted(s) for f in features(w) if f in index]:
                 row += [len(owner)] * len(hit)
                 column += hit
                 owner.append(d)
@@ -145,9 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE, i
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     order = F.xxhash64("_id"), F.col("_id")
     taken = known.filter("_y = 1").orderBy(*order).limit(sample).unionByName(known.filter("_y = 0").orderBy(*order).limit(sample))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(taken), "_id").select("_id", "_t", "_y").collect()
-    rows.sort(key=lambda r: (r._id, r._t or ""))
-    return fit([r._t or "" for r in rows], [r._y for r in rows])
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(taken), "_id").select("_id", "_t", "_y").toArrow()
+    rows = sorted((i, t or "", y) for i, t, y in zip(*(c.to_pylist() for c in found.columns), strict=True))
+    del found
+    return fit([t for _, t, _ in rows], [y for *_, y in rows])
 
 
 def _scored(model, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
