@@ -17,6 +17,8 @@ from tokenloom.llm._common import materialise
 BITS = 18
 #: Longest multi-match; cost of verifying a candidate per shingle, as a share of reading one entry of a posting list.
 MOST_MATCHES, VERIFY = 4, 0.125
+#: A posting list so long holds its entries against its smallest document even where few tokens are shared.
+LONG = 16
 #: Ids that are broadcast to pick out documents at most; beyond it the documents are shuffled instead.
 BROADCAST_IDS = 1_000_000
 #: Stands for a null id.
@@ -110,6 +112,49 @@ def _verified(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Ite
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), part.column(1).take(pa.array(kept, pa.int64()))], names=["a", "b"])
 
 
+def delta(x: np.ndarray, leader: np.ndarray, percent: int) -> tuple[bool, bool, list[tuple[int, np.ndarray]]]:
+    """How a set lies to its leader: linked, a satellite (half of the larger in common), and its prefixes of differences.
+
+    Two satellites a and b of a leader of n shingles, of which they lack D and to which they add X, share n - Da - Db shingles
+    and as many more as their differences have in common.  If a isn't linked with the leader, what they need is more than
+    that: at least [p (n + X) - 100 (n - D)] / (100 + p) common differences for a against any b, and [100 D + p X] / (100 + p)
+    for either against one that isn't linked.  So prefixes of their differences, additions first, must meet.  Roles: 0 and 1
+    of a set that isn't linked, against linked ones and against its like; 2 of a linked set.
+    """
+    n, both = len(leader), len(np.intersect1d(x, leader, assume_unique=True))
+    linked = both > 0 and 100 * both >= percent * (len(x) + n - both)
+    if 2 * both < max(n, len(x)):
+        return linked, False, []
+    added, lost = len(x) - both, n - both
+    new = np.setdiff1d(x, leader, assume_unique=True)
+    gone = shingles.mix(np.setdiff1d(leader, x, assume_unique=True) ^ np.uint64(0x5EED))
+    whole = np.concatenate((np.sort(new), np.sort(gone)))
+    half = -(-(100 * lost + percent * added) // (100 + percent))
+    if linked:
+        needs = [(2, half)]
+    else:
+        needs = [(0, max(1, -(-(percent * (n + added) - 100 * both) // (100 + percent)))), (1, half)]
+    return linked, True, [(role, whole[: max(0, len(whole) - c + 1)]) for role, c in needs]
+
+
+def _measured(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of a leader a and a document b: a row that tells whether they link and b is a satellite, then b's differences."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 250):
+            part = batch.slice(lo, 250)
+            texts = [*part.column(2).to_pylist(), *part.column(3).to_pylist()]
+            new = list(dict.fromkeys(texts))
+            seen = dict(zip(new, shingles.sets(new, size), strict=True))
+            rows: list[tuple] = []
+            for k, (a, b) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                linked, near, found = delta(seen[texts[part.num_rows + k]], seen[texts[k]], percent)
+                rows.append((a, b, linked, near, None, None))
+                rows += [(a, b, linked, near, role, t) for role, tokens in found for t in tokens.view(np.int64).tolist()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "b", "linked", "near", "role", "token"])
+
+
 # ---- links and components ------------------------------------------------------------------------------------------
 
 
@@ -142,21 +187,27 @@ def _only(docs: DataFrame, ids: DataFrame, number: int, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if number <= BROADCAST_IDS else ids, "doc_id", how)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int, label: str) -> DataFrame:
-    """The pairs (a, b) that link.  Only documents that are in a pair are shuffled to it."""
+def _with_texts(pairs: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+    """(a, b, ta, tb).  Only documents that are in a pair are shuffled to it."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{label}-ids")
     texts = materialise(_only(docs, ids, ids.count(), "left_semi"), f"{label}-texts")
     joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return materialise(joined.select("a", "b", "ta", "tb").mapInArrow(functools.partial(_verified, size, percent), "a long, b long"), f"{label}-links")
+    return joined.select("a", "b", "ta", "tb")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int, label: str) -> DataFrame:
+    """The pairs (a, b) that link."""
+    return materialise(_with_texts(pairs, docs, label).mapInArrow(functools.partial(_verified, size, percent), "a long, b long"), f"{label}-links")
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents with class representatives, and the links between representatives that hold all groups together.
 
     The first: doc_id, n_shingles, rep (the smallest id with an equal set; null without shingles).  The second: a, b.  Every
-    pair of linked sets is joined by links, directly or through others that are verified: a posting list's entries are first
-    held against its smallest document; only what that leaves in different groups is paired entry by entry.  So a group of
-    thousands of near copies takes as many comparisons as it has members, not their square.
+    pair of linked sets is joined by links, directly or through others that are verified.  A posting list's entries are first
+    held against its smallest document, the leader.  Those that are near the same leader are compared further only where
+    their differences from it meet (see ``delta``); what has neither leader nor group in common is paired entry by entry.
+    So thousands of near copies of one text take about as many comparisons as they are, not their square.
 
     Ids are taken for distinct; rows with equal ids and different texts are held to be one document with the first text by
     code point.  Null ids count as one id.
@@ -167,10 +218,9 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
         return _signed(batches, size)
 
     first = materialise(texts.mapInArrow(signed, "doc_id long, n long, s1 long, s2 long, cell long, count long"), "sets")
-    counts = first.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("count").alias("count")).collect()  # 2**BITS rows at most
+    counts = first.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()  # 2**BITS rows at most
     cells = np.zeros(1 << BITS, dtype=np.int64)
-    for r in counts:
-        cells[r[0]] = r[1]
+    cells[counts["cell"].to_numpy()] = counts["count"].to_numpy()
     order = np.empty(1 << BITS, dtype=np.uint64)
     by = np.argsort(cells, kind="stable")
     order[by] = np.arange(1 << BITS, dtype=np.uint64)
@@ -186,27 +236,38 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
 
     entries = reps.mapInArrow(functools.partial(_prefixes, shared, size, percent), "token long, doc long, n int, matches int")
     of_token = Window.partitionBy("token")
-    lists = entries.withColumn("first", F.min(F.struct("doc", "n", "matches")).over(of_token)).withColumn("last", F.max("doc").over(of_token))
-    lists = materialise(lists.filter("first.doc <> last").drop("last"), "postings")
+    lists = entries.withColumn("first", F.min(F.struct("doc", "n", "matches")).over(of_token)).withColumn("long", F.count("*").over(of_token))
+    lists = materialise(lists.filter("long > 1"), "postings")
 
+    # stars: each entry against the smallest document of its list
     alike = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    stars = lists.filter("doc <> first.doc").groupBy(F.col("doc").alias("b"), F.col("first.doc").alias("a")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("first.n").alias("m"), F.first(F.least("matches", "first.matches")).alias("asked"))
-    stars = materialise(stars.filter(f"shared >= asked AND {alike}").select("a", "b"), "stars")
-    near = _verify(stars, texts, size, percent, "stars")
-
-    # groups so far: each document's smallest linked one, two steps down
+    stars = lists.filter("doc <> first.doc").groupBy(F.col("doc").alias("b"), F.col("first.doc").alias("a")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("first.n").alias("m"), F.first(F.least("matches", "first.matches")).alias("asked"), F.max("long").alias("long"))
+    stars = materialise(stars.filter(f"{alike} AND shared >= asked OR long >= {LONG} AND 2 * least(n, m) >= greatest(n, m)").select("a", "b"), "stars")
+    measured = materialise(_with_texts(stars, texts, "stars").mapInArrow(functools.partial(_measured, size, percent), "a long, b long, linked boolean, near boolean, role int, token long"), "measured")
+    pairs = measured.filter("role IS NULL")
+    near = pairs.filter("linked").select("a", "b")
+
+    # satellites of one leader meet where their differences from it do
+    home = materialise(pairs.filter("near").groupBy("b").agg(F.min("a").alias("a")), "home")
+    apart = materialise(measured.filter("role IS NOT NULL").join(home, ["a", "b"]).select("a", "b", "role", "token"), "apart")
+    one, two = apart.select("a", "token", F.col("b").alias("x"), F.col("role").alias("r")), apart.select("a", "token", F.col("b").alias("y"), F.col("role").alias("s"))
+    meet = one.join(two, ["a", "token"]).filter("r = 1 AND s = 1 AND x < y OR r = 0 AND s = 2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    # the rest of a list is paired entry by entry where neither leader nor group is common
     label = near.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("to"))
     label = materialise(label, "label")
     for k in range(2):
         on = label.select(F.col("doc").alias("to"), F.col("to").alias("further"))
         label = materialise(label.join(on, "to", "left").select("doc", F.coalesce("further", "to").alias("to")), f"label{k}")
-    grouped = lists.drop("first").join(label, "doc", "left").withColumn("group", F.coalesce("to", "doc")).drop("to")
-    grouped = grouped.withColumn("low", F.min("group").over(of_token)).withColumn("high", F.max("group").over(of_token)).filter("low <> high").drop("low", "high")
-    mixed = materialise(grouped, "mixed")
-    left = mixed.select("token", F.col("doc").alias("a"), F.col("n"), F.col("matches").alias("k"), F.col("group").alias("ga"))
-    right = mixed.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("matches").alias("l"), F.col("group").alias("gb"))
-    across = left.join(right, "token").filter(f"a < b AND ga <> gb AND {alike}").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("k", "l")).alias("asked"))
-    others = materialise(across.filter("shared >= asked").select("a", "b"), "pairs")
+    grouped = lists.drop("first", "long").join(label, "doc", "left").join(home.select(F.col("b").alias("doc"), F.col("a").alias("home")), "doc", "left")
+    grouped = grouped.withColumn("group", F.coalesce("to", "doc")).withColumn("home", F.coalesce("home", "doc")).drop("to")
+    for x in ("group", "home"):
+        grouped = grouped.withColumn(f"low_{x}", F.min(x).over(of_token)).withColumn(f"high_{x}", F.max(x).over(of_token))
+    mixed = materialise(grouped.filter("low_group <> high_group AND low_home <> high_home").select("token", "doc", "n", "matches", "group", "home"), "mixed")
+    left = mixed.select("token", F.col("doc").alias("a"), F.col("n"), F.col("matches").alias("k"), F.col("group").alias("ga"), F.col("home").alias("ha"))
+    right = mixed.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("matches").alias("l"), F.col("group").alias("gb"), F.col("home").alias("hb"))
+    across = left.join(right, "token").filter(f"a < b AND ga <> gb AND ha <> hb AND {alike}").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("k", "l")).alias("asked"))
+    others = materialise(across.filter("shared >= asked").select("a", "b").unionByName(meet).distinct(), "pairs")
     far = _verify(others, texts, size, percent, "pairs")
     every = sets.join(members, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).alias("rep"))
     return every, near.unionByName(far)
