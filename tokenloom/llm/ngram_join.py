@@ -117,8 +117,8 @@ def delta(x: np.ndarray, leader: np.ndarray, percent: int) -> tuple[bool, bool,
 
     Two satellites a and b of a leader of n shingles, of which they lack D and to which they add X, share n - Da - Db shingles
     and as many more as their differences have in common.  If a isn't linked with the leader, what they need is more than
-    that: at least [p (n + X) - 100 (n - D)] / (100 + p) common differences for a against any b, and [100 D + p X] / (100 + p)
-    for either against one that isn't linked.  So prefixes of their differences, additions first, must meet.  Roles: 0 and 1
+    that: at least [p (n + X) - 100 (n - D) + p] / (100 + p) common differences for a against any b but the leader, and more than
+    [100 D + p X] / (100 + p) for either against one that isn't linked.  So prefixes of their differences, additions first, must meet.  Roles: 0 and 1
     of a set that isn't linked, against linked ones and against its like; 2 of a linked set.
     """
     n, both = len(leader), len(np.intersect1d(x, leader, assume_unique=True))
@@ -129,11 +129,11 @@ def delta(x: np.ndarray, leader: np.ndarray, percent: int) -> tuple[bool, bool,
     new = np.setdiff1d(x, leader, assume_unique=True)
     gone = shingles.mix(np.setdiff1d(leader, x, assume_unique=True) ^ np.uint64(0x5EED))
     whole = np.concatenate((np.sort(new), np.sort(gone)))
-    half = -(-(100 * lost + percent * added) // (100 + percent))
+    half = (100 * lost + percent * added) // (100 + percent) + 1
     if linked:
         needs = [(2, half)]
     else:
-        needs = [(0, max(1, -(-(percent * (n + added) - 100 * both) // (100 + percent)))), (1, half)]
+        needs = [(0, max(1, -(-(percent * (n + added) - 100 * both + percent) // (100 + percent)))), (1, half)]
     return linked, True, [(role, whole[: max(0, len(whole) - c + 1)]) for role, c in needs]
 
 
