@@ -373,6 +373,24 @@ def test_language_spans(spark):
     assert got[2] == got[3] == got[4] == ("und", 0.0) and got[5] == ("ru", 1.0) and got[6][0] in texts
 
 
+def test_languages_without_spaces_are_read_to_the_end(spark):
+    han, kana, thai = "今天天气很好我们去公园散步吧", "きょうはとてもいいてんきですね", "วันนี้อากาศดีมากเราไปเดินเล่นกัน"
+    texts = {"zh": han * 9, "ja": kana * 9, "th": thai * 9, "en": "the house of this that with which " * 9}
+    model = langid.fit([t for t in texts.values() for _ in range(3)], [k for k in texts for _ in range(3)], penalty=4.0)
+    runs = [(1, han * 6 + kana * 40), (2, kana * 6 + "，" + thai * 40 + han * 6), (3, "─" * 80 + "thehouseofthis"), (4, "─" * 80), (5, "thehouse" * 9 + han * 20)]
+    df = spark.createDataFrame(runs, DOCS)
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    assert [got[k].lang_pred for k in range(1, 6)] == ["ja", "th", "en", "und", "zh"] and got[4].score == 0
+    assert abs(got[1].score - 40 * len(kana) / (40 * len(kana) + 6 * len(han))) < 0.01
+    spans = [(r.lang, r.start, r.length) for r in langid.spans(df, model).filter("doc_id = 2").orderBy("span").collect()]
+    ends = [len(x.encode()) for x in (kana * 6 + "，", thai * 40, han * 6)]
+    assert spans == [("ja", 0, ends[0]), ("th", ends[0], ends[1]), ("zh", ends[0] + ends[1], ends[2])]
+    for text in (runs[1][1], "ab\ud800" * 50, "wordслово漢字 x" * 9, "naïve—" * 30):
+        assert b"".join(langid.words(text)) == text.encode("utf-8", "surrogatepass").replace(b" ", b"")
+    late = langid.fit(["漢" * 64 + "字" * 64, "漢" * 64 + "文" * 64], ["a", "b"])  # differ only after 64 characters
+    assert [x for x, _ in late.predict(["字" * 20, "文" * 20])] == ["a", "b"]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     model = langid.Model(["a", "b", "c"], {}, np.zeros(3), {}, penalty=1.5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import string
 from collections import Counter
 from collections.abc import Iterator
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 
 #: Documents of each language that training takes at most; what a change of language costs; words a worker remembers.
 SAMPLE, PENALTY, MEMORY = 400, 8.0, 500_000
+#: Characters of a word that stay in one piece, and of each piece of longer words and of scripts without spaces.
+LONG, PIECE = 64, 16
+#: Rows, and about how many bytes of texts, that are labelled at once.
+ROWS, BYTES = 2000, 16 << 20
 UNKNOWN = "und"
 #: First and last code point of common scripts' letters.
 SCRIPTS = (
@@ -23,6 +28,9 @@ SCRIPTS = (
     ("tamil", 0x0B80, 0x0BFF), ("thai", 0x0E00, 0x0E7F), ("georgian", 0x10A0, 0x10FF), ("latin", 0x1E00, 0x1EFF),
     ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 )
+UNSPACED = {"thai", "kana", "han", "other"}
+#: What no Latin word has; other words may have to be split.
+_NOT_LATIN = re.compile("[\u0250-\u1dff\u1f00-\u1fff\u2070-\U0010ffff]")
 _TABLE = bytes(32 if i < 32 or chr(i) in string.punctuation + string.digits else ord(chr(i).lower()) if i < 128 else i for i in range(256))
 
 
@@ -34,9 +42,34 @@ def script(word: str) -> str | None:
     return None
 
 
+@functools.lru_cache(1 << 16)
+def pieces(raw: bytes) -> tuple[bytes, ...]:
+    """A word, split where its letters change from one script to another; runs without spaces and long ones in pieces of PIECE.
+
+    Nothing is left out: marks between letters stay with those before them, letters of no known script split nothing.
+    """
+    word = raw.decode("utf-8", "surrogatepass")
+    bounds, last = [0], None
+    for k, c in enumerate(word):
+        if c.isalpha() and (kind := script(c)) != "other":
+            if last not in (None, kind):
+                bounds.append(k)
+            last = kind
+    runs = [word[a:b] for a, b in zip(bounds, [*bounds[1:], len(word)], strict=True)]
+    cut = [r[k : k + PIECE] for r in runs for k in range(0, len(r), PIECE if len(r) > LONG or script(r) in UNSPACED else LONG)] if len(word) > PIECE else runs
+    return tuple(p.encode("utf-8", "surrogatepass") for p in cut)
+
+
 def words(text: str) -> list[bytes]:
-    """Words as UTF-8 bytes, in the place and length they have in the text: cut at ASCII white space, marks and digits."""
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    """Words as UTF-8 bytes, in the place and length they have in the text: cut at ASCII white space, marks and digits.
+
+    Words in more than one script, without spaces or longer than LONG come as their pieces.
+    """
+    found = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    if max(map(len, found), default=0) <= LONG and (text.isascii() or not _NOT_LATIN.search(text)):
+        return found
+    split = pieces.__wrapped__  # long words are not remembered
+    return [p for w in found for p in (pieces(w) if len(w) <= 4 * LONG else split(w))]
 
 
 def grams(word: str) -> list[str]:
@@ -58,8 +91,8 @@ class Model:
     matrix: np.ndarray | None = None
 
     def score(self, raw: bytes) -> np.ndarray:
-        """A word's score in each language, and 1 at the end if it has a letter.  Long words count as their first 64 letters."""
-        word = raw.decode("utf-8", "replace").lower()[:64]
+        """A word's score in each language, and 1 at the end if it has a letter."""
+        word = raw.decode("utf-8", "replace").lower()
         kind = script(word)
         if kind is None:
             return np.zeros(len(self.langs) + 1, dtype=np.float32)
@@ -170,7 +203,7 @@ def fit(texts: list[str], langs: list[str], penalty: float = PENALTY) -> Model:
     tables, scripts = {x: Counter() for x in names}, {x: Counter() for x in names}
     for lang, found in counted.items():
         for raw, n in found.items():
-            word = raw.decode("utf-8", "replace").lower()[:64]
+            word = raw.decode("utf-8", "replace").lower()
             if kind := script(word):
                 scripts[lang][kind] += n
                 for g in grams(word):
@@ -209,8 +242,9 @@ def train(docs: DataFrame, keep=None, sample: int = SAMPLE, penalty: float = PEN
 def _predicted(shared, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
+        step = max(1, min(ROWS, batch.num_rows * BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
             found = model.predict(part.column(1).to_pylist()) if model.langs else [(UNKNOWN, 0.0)] * part.num_rows
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], schema=schema)
 
