@@ -159,6 +159,24 @@ def test_repeated_passages_are_found_and_others_left(spark):
     assert substring.repeated_spans(df.limit(0)).count() == 0
 
 
+def test_passages_of_short_words_and_of_repeated_phrases_are_found(spark):
+    rng = random.Random(8)
+    little = "the of and to a in is it that for was on are as with his they at be this from or had by but some what we can".split()
+    shared = [" ".join(rng.choice(little) for _ in range(51)) for _ in range(60)]
+    shared += [(" ".join(rng.sample(little, k)) + " ") * (60 // k) for k in range(1, 6)]
+    docs = [(2 * i + k, f"{passage(rng, 40 + rng.randrange(9))} {s} {passage(rng, 40)}") for i, s in enumerate(shared) for k in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = substring.repeated_spans(df)
+    assert spans.columns == ["doc_id", "mark", "start", "length", "chunks", "kept_doc_id"]
+    got = spans.collect()
+    assert {r.doc_id for r in got} == {2 * i + 1 for i in range(len(shared))} and all(r.kept_doc_id == r.doc_id - 1 for r in got if r.doc_id < 120)
+    # what goes is what both texts have
+    texts = dict(docs)
+    assert all(texts[r.doc_id][r.start : r.start + r.length] in texts[r.doc_id - 1] for r in got if r.doc_id < 120)
+    cut = dict(substring.chunk([b"so it is " * 100, b"xy " + b"so it is " * 100, b"x" * 500]))
+    assert all(max(np.diff(c).tolist()) <= 64 for c in cut.values())
+
+
 def test_repetition_within_a_text_only_if_asked(spark):
     rng = random.Random(4)
     p = passage(rng, 60)

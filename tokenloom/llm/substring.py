@@ -13,26 +13,27 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm._common import materialise, utf8
 
-#: A cut lies where the gear hash is the largest of so many bytes on either side: chunks of 25 bytes at least, 49 on average.
-REACH = 24
-#: Runs of repeated chunks that reach so many bytes are duplicates; shorter ones are chance or stock phrases.
-LEAST = 120
+#: A cut lies where the gear hash is the largest of so many bytes on either side: chunks of 16 bytes at least, 33 on average.
+REACH = 16
+#: Runs of repeated chunks that reach so many bytes, or so many words, are duplicates; shorter ones are chance or stock
+#: phrases. Of what two texts share, the chunks at both ends are lost: some 45 bytes, about 10 of 51 words.
+LEAST, WORDS = 120, 20
 #: Bytes of texts that are cut at once, and the zero bytes that keep texts apart.
 BLOCK, GAP = 2 << 20, 64
 #: A random value for each byte; byte 0 counts nothing, so that what stands before a text is like nothing.
 GEAR = np.concatenate(([0], np.random.default_rng(2024).integers(1, 1 << 16, 255))).astype(np.uint16)
-CHUNKS = "doc_id long, mark long, start long, length int, first boolean, digest long"
+CHUNKS = "doc_id long, mark long, start long, length int, words int, first boolean, digest long"
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 
 
 def priorities(data: np.ndarray) -> np.ndarray:
-    """For each byte the gear hash of the 16 bytes up to it, above it a bit for white space; 0 inside a UTF-8 character.
+    """For each byte the gear hash of the 8 bytes up to it, above it a bit for white space; 0 inside a UTF-8 character.
 
-    The rolling hash h = 2 h + GEAR[byte] modulo 2**16 forgets after 16 bytes; here it is summed by doubling.
+    The rolling hash h = 2 h + GEAR[byte] modulo 2**16 is summed by doubling, and only over 8 bytes.
     """
     h = GEAR[data]
-    for k in (1, 2, 4, 8):
+    for k in (1, 2, 4):
         h[k:] += h[:-k] << np.uint16(k)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     out = (h >> np.uint16(1)).astype(np.uint16) | np.uint16(1)
@@ -43,9 +44,11 @@ def priorities(data: np.ndarray) -> np.ndarray:
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
-    """Bytes before which a chunk ends: those whose priority is above all of the REACH before and none below of those after.
+    """Bytes before which a chunk ends: those whose priority is none below of the REACH before and of those after.
 
-    A cut depends on some 40 bytes before and 24 after it, so text that is inserted or deleted moves no cut farther away.
+    A cut depends on some 24 bytes before and 16 after it, so text that is inserted or deleted moves no cut farther away.
+    Where the same few words, or one character, come on and on, equal priorities follow each other: of those the first is
+    taken and then each that is REACH away from the last, so that all chunks there begin at one place of what repeats.
     """
     p = priorities(data)
     window, top = 1, p.copy()  # top[i] = max(p[i : i + window])
@@ -58,7 +61,17 @@ def cuts(data: np.ndarray) -> np.ndarray:
     before, after = np.zeros_like(p), np.zeros_like(p)
     before[REACH:] = top[:-REACH]
     after[:-1] = top[1:]
-    return np.flatnonzero((p > before) & (p >= after) & (p > 0))
+    found = np.flatnonzero((p >= before) & (p >= after) & (p > 0))
+    near = np.flatnonzero(np.diff(found) < REACH)
+    if not len(near):
+        return found
+    taken = np.ones(len(found), dtype=bool)
+    at = 0
+    for k in near.tolist():  # found[k + 1] is too near to found[k]
+        if k >= at:
+            at = int(np.searchsorted(found, found[k] + REACH))
+            taken[k + 1 : at] = False
+    return found[taken]
 
 
 def chunk(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
@@ -85,11 +98,13 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
         for lo in range(0, batch.num_rows, 500):
             texts = [utf8(t) for t in batch.column(1).slice(lo, 500).to_pylist()]
-            counts, starts, lengths, first = [], [], [], []
+            counts, starts, lengths, n_words, first = [], [], [], [], []
             digests: list[int] = []
             for k, bounds in chunk(texts):
                 text, edges = texts[k], bounds.tolist()
-                own = [digest(text[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+                parts = [text[x:y] for x, y in zip(edges, edges[1:], strict=False)]
+                own = [digest(x) for x in parts]
+                n_words += [len(x.split()) for x in parts]
                 seen: set[int] = set()
                 first += [not (d in seen or seen.add(d)) for d in own] if len(set(own)) < len(own) else [True] * len(own)
                 digests += own
@@ -98,12 +113,12 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lengths.append(np.diff(bounds))
             if digests:
                 n = np.array(counts)
-                columns = np.repeat(ids[lo : lo + 500], n), np.repeat(marks[lo : lo + 500], n), np.concatenate(starts).astype(np.int64), np.concatenate(lengths).astype(np.int32), np.array(first), np.array(digests, dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "mark", "start", "length", "first", "digest"])
+                columns = np.repeat(ids[lo : lo + 500], n), np.repeat(marks[lo : lo + 500], n), np.concatenate(starts).astype(np.int64), np.concatenate(lengths).astype(np.int32), np.array(n_words, dtype=np.int32), np.array(first), np.array(digests, dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "mark", "start", "length", "words", "first", "digest"])
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per chunk: doc_id, mark (a hash of the text), start and length in UTF-8 bytes, whether the text has had the
+    """One row per chunk: doc_id, mark (a hash of the text), start and length in UTF-8 bytes, words, whether the text has had the
     chunk before, and a digest of 64 bits.
 
     Null and empty texts have no chunk.  A text without white space is cut at other characters.
@@ -111,11 +126,11 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark")).mapInArrow(_chunked, CHUNKS)
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, within: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = LEAST, within: bool = False, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """Spans to remove: doc_id, mark, start, length (UTF-8 bytes), chunks, kept_doc_id (where the span's first chunk stays).
 
     A chunk stays in the document with the smallest id of all that hold its digest; with ``within``, only the first time it
-    occurs there.  Others, where they form runs that reach ``least`` bytes, make a span.  Digests are counted before they are joined: a digest is one
+    occurs there.  Others, where they form runs that reach ``least`` bytes or ``words`` words, make a span.  Digests are counted before they are joined: a digest is one
     row there however often it occurs, and the join's large partitions can be split, so neither a third of all rows with one
     text nor a passage in every document meets in one task.  Rows with equal ids remove nothing from each other; null ids
     count as the smallest id.  A chance repetition of digests can't make a span, as it takes several in a row.
@@ -123,12 +138,12 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, within: bool = False, id
     every = materialise(chunks(docs, id_col, text_col), "chunks")
     counted = every.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("kept_doc_id")).filter("n > 1").drop("n")
     again = every.join(counted, "digest").filter("kept_doc_id < doc_id OR NOT first" if within else "kept_doc_id < doc_id")
-    again = again.groupBy("doc_id", "mark", "start").agg(F.max("length").alias("length"), F.max("kept_doc_id").alias("kept_doc_id"))
+    again = again.groupBy("doc_id", "mark", "start").agg(F.max("length").alias("length"), F.max("words").alias("words"), F.max("kept_doc_id").alias("kept_doc_id"))
     order = Window.partitionBy("doc_id", "mark").orderBy("start")
     marked = again.withColumn("new", (F.coalesce(F.lag(F.col("start") + F.col("length")).over(order), F.lit(-1)) != F.col("start")).cast("int"))
     numbered = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = numbered.groupBy("doc_id", "mark", "run").agg(F.min("start").alias("start"), F.sum("length").cast("long").alias("length"), F.count("*").alias("chunks"), F.min_by("kept_doc_id", "start").alias("kept_doc_id"))
-    return spans.filter(F.col("length") >= least).drop("run")
+    spans = numbered.groupBy("doc_id", "mark", "run").agg(F.min("start").alias("start"), F.sum("length").cast("long").alias("length"), F.sum("words").alias("words"), F.count("*").alias("chunks"), F.min_by("kept_doc_id", "start").alias("kept_doc_id"))
+    return spans.filter((F.col("length") >= least) | (F.col("words") >= words)).drop("run", "words")
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -140,9 +155,9 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, within: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, within: bool = False, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """The rows of docs, each text without its repeated spans; all other columns stay."""
-    spans = repeated_spans(docs, least, within, id_col, text_col)
+    spans = repeated_spans(docs, least, within, id_col, text_col, words)
     by_row = spans.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
 
     @F.arrow_udf("string")
