@@ -83,3 +83,13 @@ def test_same_as_sql(spark, sql, name):
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(got.columns) == sorted(names)
     assert sorted((tuple(r[n] for n in names) for r in got.collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
+def test_skip_special_takes_whole_texts(spark, tmp_path):
+    texts = {1: "aB c-" * 300, 2: "X" * 500 + "tail é end", 3: "", 4: "12 !?", 5: "ab", 6: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.out for r in queries.queries()["d_skip_special"](spark, str(tmp_path)).collect()}
+    assert got == {k: None if t is None else "".join(c for c in t if "a" <= c <= "z") for k, t in texts.items()}
+    rows = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.out for r in queries.queries()["d_skip_special"](spark, TABLES).collect()}
+    assert len(got) == len(rows) and all(got[r.doc_id] == (None if r.text is None else "".join(c for c in r.text if "a" <= c <= "z")) for r in rows)
