@@ -343,6 +343,20 @@ def test_toxicity_held_out(spark):
     assert hit >= 0.75 * sum(labels[d] for d in held) and wrong <= 0.02 * len(held)
 
 
+def test_toxicity_sample_keeps_the_share_of_toxic_documents(spark):
+    # a tenth is labelled toxic, of which half has a toxic sentence
+    rng = random.Random(2)
+    plain = lambda n: " ".join(f"A {rng.choice('bcdfgh')}at {rng.choice('lmnpr')}ies here." for _ in range(n))
+    rows = [(i, plain(12) + (" You vile scum." if i % 10 == 0 and i % 20 else ""), int(i % 10 == 0)) for i in range(1200)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], DOCS), spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int")
+    whole, part = toxicity.train(docs, labels), toxicity.train(docs, labels, sample=120)
+    assert abs(whole.bias - part.bias) < 0.3
+    long = plain(150)
+    assert whole.document(long) < toxicity.THRESHOLD and part.document(long) < toxicity.THRESHOLD
+    assert part.document(long + " You vile scum.") >= toxicity.THRESHOLD
+    assert toxicity.train(docs, labels.filter("toxic = 0")).document(long) < 0.01
+
+
 def test_toxic_sentences(spark):
     bad = ["you are a blorg today", "what a blorg", "blorg again and more"] * 10
     good = ["you are a friend today", "what a day", "again and more of this"] * 10

@@ -80,9 +80,11 @@ class NoisyOr:
         return float(-np.expm1(-_softplus(z).sum()))
 
 
-def fit(texts: list[str], labels: list[int], vocabulary: int = VOCABULARY, steps: int = 300, decay: float = 1e-3) -> NoisyOr:
+def fit(texts: list[str], labels: list[int], vocabulary: int = VOCABULARY, steps: int = 300, decay: float = 1e-3, totals: tuple[int, int] | None = None) -> NoisyOr:
     """Trains by gradient ascent on the noisy-or's log-likelihood.
 
+    ``totals`` are the clean and the toxic documents of which texts are a sample: each class weighs as much as it has there.
+
     Features that are in clearly more toxic documents than chance has it (APART) get a weight: only such can make a sentence
     offend.  Without documents of both classes none counts and every score is near 0.
     """
@@ -124,7 +126,8 @@ def fit(texts: list[str], labels: list[int], vocabulary: int = VOCABULARY, steps
                 empty[d] += 1
     row, column, owner = (np.array(x, dtype=np.int64) for x in (row, column, owner))
     weights, bias = np.zeros(len(known)), -4.0
-    scale = np.full(len(y), 1 / len(y))
+    t0, t1 = totals or (n0, n1)
+    scale = np.where(y == 1, t1 / n1, t0 / n0) / (t0 + t1)
     moment, square = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     for t in range(1, steps + 1):
         z = bias + np.bincount(row, weights[column], minlength=len(owner))
@@ -145,6 +148,7 @@ def fit(texts: list[str], labels: list[int], vocabulary: int = VOCABULARY, steps
 def train(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> NoisyOr:
     """Fits on at most ``sample`` labelled documents of either class, those with the smallest hash of the id.
 
+    Either class weighs as much as it has labels in all, so that the sample's size does not shift how likely a toxic document is.
     ``keep`` is a condition on the label rows (say, a fold).  A document labelled twice counts as toxic if any label says so;
     null ids and labels are left out.  Only the sample is broadcast and collected.
     """
@@ -152,12 +156,13 @@ def train(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE, i
     if keep is not None:
         known = known.filter(keep(F.col("_id")))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
+    count = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("toxic")).first()
     order = F.xxhash64("_id"), F.col("_id")
     taken = known.filter("_y = 1").orderBy(*order).limit(sample).unionByName(known.filter("_y = 0").orderBy(*order).limit(sample))
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(taken), "_id").select("_id", "_t", "_y").toArrow()
     rows = sorted((i, t or "", y) for i, t, y in zip(*(c.to_pylist() for c in found.columns), strict=True))
     del found
-    return fit([t for _, t, _ in rows], [y for *_, y in rows])
+    return fit([t for _, t, _ in rows], [y for *_, y in rows], totals=(count.n - count.toxic, count.toxic))
 
 
 def _scored(model, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
