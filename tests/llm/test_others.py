@@ -252,6 +252,23 @@ def test_groups_with_gaps_exchange(spark):
     assert max(r.n for r in rows) <= 2048 and len(rows) <= alone and sum(r.n for r in rows) == sum(700 + i * 7919 % 700 for i in range(4000))
 
 
+def test_packing_exchanges_until_nothing_is_gained(spark, caplog):
+    rng = random.Random(12)
+    rows = [(i, 0, 0, rng.randrange(300, 1100), 0) for i in range(3000)]
+    pieces = spark.createDataFrame(rows, packing.PIECES)
+    got = packing.pack(pieces, 2048, task_pieces=60).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == sorted((i, n) for i, _, _, n, _ in rows)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert b[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(b, b[1:], strict=False)) and sum(b[-1]) <= 2048
+    two = packing.pack(pieces, 2048, rounds=2, task_pieces=60).select("sequence_id").distinct().count()
+    assert len(bins) < two
+    assert "groups remain above their bound" in caplog.text
+
+
 # ---- search --------------------------------------------------------------------------------------------------------
 
 

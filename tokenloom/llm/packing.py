@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import logging
 import unicodedata
 import zlib
 from array import array
@@ -179,37 +180,41 @@ def _pack_by(pieces: DataFrame, groups: int, capacity: int, salt: int) -> DataFr
     return keyed.groupBy("part").applyInArrow(packed, PIECES + ", part int, bin long, offset long, fill long, bins long, bound long")
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 2, task_pieces: int = TASK_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, rounds: int | None = None, task_pieces: int = TASK_PIECES) -> DataFrame:
     """Packs pieces (as token_pieces makes them) into sequences of at most ``capacity`` tokens.
 
     Whole pieces are sequences of their own.  The others are dealt by a hash over as many groups as hold ``task_pieces`` each
     and packed best-fit decreasing; a dual-feasible-function bound tells for each group how many bins any packing needs.
     Groups that used more give up their bins that are not full: those documents are dealt anew over fewer groups, so that
-    they meet others', and are packed again.  ``rounds`` such exchanges follow at most; a group that meets its bound is final.
-    An empty table gives an empty result.
+    they meet others', and are packed again; a group that meets its bound is final.  Exchanges go on until all do, one group
+    is left or an exchange no longer lowers the number of bins (what was before it then stays), at most ``rounds`` times if
+    given; a warning tells how many groups remain above their bound.  An empty table gives an empty result.
     """
     small = materialise(pieces, "pieces")
     full = small.filter(F.col("length") == capacity)
     rest = small.filter(F.col("length") < capacity)
-    number = rest.count()
-    groups, done = max(1, -(-number // task_pieces)), []
-    for turn in range(rounds + 1):
-        packed = materialise(_pack_by(rest.select("doc_id", "piece", "start", "length", "ids_crc32"), groups, capacity, turn), f"packed{turn}")
-        last = turn == rounds or groups == 1
-        open_bins = F.lit(False) if last else (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
-        done.append(packed.filter(~open_bins).select("doc_id", "piece", "start", "length", "ids_crc32", F.concat_ws("-", F.lit(turn), "part", "bin").alias("key"), "offset", F.lit(turn).alias("turn"), "part", "bin"))
-        if last:
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    groups, base, turn, kept, before, above, done = max(1, -(-rest.count() // task_pieces)), 0, 0, None, 0, (0, 0), []
+    is_open = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
+    while True:
+        packed = materialise(_pack_by(rest.select(*names), groups, capacity, turn), f"packed{turn}")
+        by_group = packed.groupBy("part").agg(F.max("bins").alias("bins"), F.max(F.col("bins") - F.col("bound")).alias("above"), F.count_distinct(F.when(is_open, F.col("bin"))).alias("open"), F.sum(is_open.cast("long")).alias("pieces"))
+        state = by_group.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("bins", "above", "open", "pieces")), F.count(F.when(F.col("above") > 0, 1)).alias("groups")).first()
+        if kept is not None and state.bins >= before:
+            done.append(kept)
             break
-        rest = packed.filter(open_bins)
-        number = rest.count()
-        if not number:
+        # a number from (group, counted over all turns, and bin): 33 bits, 30 bits; whole pieces number themselves by document below zero
+        numbered = packed.withColumn("sequence_id", (F.lit(base).cast("long") + F.col("part")) * F.lit(1 << 30) + F.col("bin"))
+        above = state.groups, state.above
+        if not state.pieces or groups == 1 or turn == rounds:
+            done.append(numbered)
             break
-        groups = max(1, min(groups // 2, -(-number // task_pieces)))
-    # a number from (turn, group, bin): two bits, 31 bits, 30 bits; whole pieces number themselves by document below zero
-    out = None
-    for d in done:
-        d = d.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("turn").cast("long") * (1 << 61) + F.col("part").cast("long") * (1 << 30) + F.col("bin")).alias("sequence_id"), "offset")
-        out = d if out is None else out.unionByName(d)
+        done.append(numbered.filter(~is_open))
+        kept, before, rest = numbered.filter(is_open), state.open, packed.filter(is_open)
+        base, turn, groups = base + groups, turn + 1, max(1, -(-state.pieces // task_pieces))
+    if above[0]:
+        logging.getLogger(__name__).warning("%d groups remain above their bound, by %d sequences in all", *above)
+    out = functools.reduce(DataFrame.unionByName, (d.select(*names, "sequence_id", "offset") for d in done))
     alone = full.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return out.unionByName(alone)
 
