@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tokenloom-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset a single JVM takes one of its own, a cluster can't."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tokenloom-')}"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_dir()
     return found
 
 
@@ -33,18 +44,55 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokenloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tokenloom_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote for frames that nothing reads any more."""
+    for df in frames:
+        path = df._tokenloom_path
+        _delete(df.sparkSession, path)
+        _written.remove((df.sparkSession, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may have ended
-            return
+            _delete(spark, path)
+        except Exception:  # its session may have ended; others may not
+            continue
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def parts(batch: pa.RecordBatch, column: int = 1, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows whose texts in a column hold about ``size`` bytes, or one row."""
+    texts = batch.column(column)
+    width = 8 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else 4
+    if not batch.num_rows:
+        return
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if width == 8 else np.int32, count=batch.num_rows + 1, offset=texts.offset * width)
+    at = 0
+    while at < batch.num_rows:
+        to = min(at + rows, int(np.searchsorted(offsets, int(offsets[at]) + size, side="right")) - 1, batch.num_rows)
+        to = max(to, at + 1)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def fold(doc_id: int, parts: int) -> int:
