@@ -46,8 +46,13 @@ def test_errors():
 
 
 def test_table_function(spark):
-    Tokenizer({"tokenizer_class": "GPT2Tokenizer"}, BYTES).register(spark, "cut")
-    assert [r.token for r in spark.sql("SELECT * FROM cut('ab')").collect()] == ["a", "b"]
+    t = Tokenizer({"tokenizer_class": "GPT2Tokenizer"}, BYTES)
+    t.register(spark, "cut")
+    texts = spark.createDataFrame([(1, "the cat's"), (2, ""), (3, None)], "k int, text string")
+    texts.withColumn("words", t.words(F.col("text"))).createOrReplaceTempView("texts")
+    want = {r.k: r.tokens or [] for r in t.tokenize(texts).collect()}
+    got = spark.sql("SELECT k, t.* FROM texts, LATERAL cut(words) t ORDER BY k, pos").collect()
+    assert {k: [r.token for r in got if r.k == k] for k in want} == want and len(want[1]) > 2
 
 
 def test_stream(spark, tmp_path):
@@ -57,8 +62,8 @@ def test_stream(spark, tmp_path):
     query = encode.token_counts(stream, t, "at").writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.tokens for r in spark.table("counts").collect()) == [1, 2]
-    with pytest.raises(ValueError, match="added"):
-        encode.encode_stream(stream, Tokenizer({"tokenizer_class": "GPT2Tokenizer"}, ADDED))
+    added = Tokenizer({"tokenizer_class": "GPT2Tokenizer"}, ADDED)
+    assert encode.encode_stream(stream, added).isStreaming
 
 
 def test_native_plans_have_no_python(spark):
@@ -93,3 +98,36 @@ def test_skip_special_takes_whole_texts(spark, tmp_path):
     rows = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r.out for r in queries.queries()["d_skip_special"](spark, TABLES).collect()}
     assert len(got) == len(rows) and all(got[r.doc_id] == (None if r.text is None else "".join(c for c in r.text if "a" <= c <= "z")) for r in rows)
+
+
+def test_texts_that_hold_the_mark(spark):
+    from tokenloom.operators import pretokenizers, splits
+
+    text = "a\x01b the c\x01\x01 the"
+    df = spark.createDataFrame([(text,)], "text string")
+    found = df.select(splits.sections(F.col("text"), [{"content": "the", "id": 1}]).alias("s"), pretokenizers.split({"Regex": "[bc]"})(F.col("text"), F.lit(True)).alias("r")).first()
+    assert found.s == ["a\x01b ", "the", " c\x01\x01 ", "the"] and found.r == ["a\x01", "b", " the ", "c", "\x01\x01 the"]
+    same = text.replace("\x01", "x")
+    other = spark.createDataFrame([(same,)], "text string").select(splits.sections(F.col("text"), [{"content": "the", "id": 1, "lstrip": True}]).alias("s")).first()
+    marked = df.select(splits.sections(F.col("text"), [{"content": "the", "id": 1, "lstrip": True}]).alias("s")).first()
+    assert [x.replace("\x01", "x") for x in marked.s] == other.s
+
+
+def test_words_that_normalize_to_an_added_token_are_cut(spark):
+    data = {**ADDED, "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Lowercase"}]}}
+    t = Tokenizer({"tokenizer_class": "GPT2Tokenizer"}, {**data, "pre_tokenizer": {"type": "WhitespaceSplit"}})
+    df = spark.createDataFrame([("<S> <s> a",)], "text string")
+    assert t.tokenize(df).first().tokens == ["<", "s", ">", "<s>", "a"]
+    assert "Exchange" not in t.encode(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_special_tokens_have_ids():
+    t = Tokenizer({"tokenizer_class": "GPT2Tokenizer", "bos_token": "<s>", "unk_token": {"content": "!"}}, ADDED)
+    assert t.special_tokens() == {"bos": ("<s>", 300), "unk": ("!", 33)}
+
+
+def test_long_names(spark):
+    from tokenloom.functions import strings
+
+    name = "_".join(["ab"] * 1500)
+    assert spark.createDataFrame([(name,)], "n string").select(strings.camel(F.col("n"))).first()[0] == "ab" + "Ab" * 1499

@@ -9,7 +9,7 @@ WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEF
 PUNCT = r"\p{P}!-/:-@\[-`{-~"
 #: Fixed value: the byte-level split pattern.
 BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
-#: Marks the edges of matches while a text is cut; where a text holds it, it is taken out first.
+#: Marks the edges of matches while a text is cut, unless the text holds it.
 MARK = "\x01"
 
 

@@ -19,7 +19,7 @@ def uncamel(c: Column) -> Column:
 
 def camel(c: Column) -> Column:
     parts = F.split(c, "_")
-    return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, 1000), capitalize), ""))
+    return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), capitalize), ""))
 
 
 def snake(name: str) -> str:

@@ -104,6 +104,14 @@ def clean_up(c: Column) -> Column:
     return c
 
 
+def joins_first(config: dict | None, added: list[str]) -> bool:
+    """Whether a decoder begins by putting all tokens in a row, so that it may as well be given their text as one token."""
+    kind = (get(config, "type") or "").lower()
+    if kind == "sequence":
+        return bool(steps := get(config, "decoders", [])) and joins_first(steps[0], added)
+    return kind == "fuse" or kind == "bytelevel" and not added
+
+
 def build(config: dict | None, added: list[str] = ()) -> Decoder | None:
     kind = get(config, "type")
     if kind is None:
@@ -128,4 +136,4 @@ def build(config: dict | None, added: list[str] = ()) -> Decoder | None:
     raise TokenizerError("unsupported", f"decoder {kind}")
 
 
-__all__ = ["CLEAN_UP", "Decoder", "build", "byte_fallback", "byte_level", "clean_up", "fuse", "literal", "metaspace", "replace", "sequence", "strip", "word_piece"]
+__all__ = ["CLEAN_UP", "Decoder", "build", "byte_fallback", "byte_level", "clean_up", "fuse", "joins_first", "literal", "metaspace", "replace", "sequence", "strip", "word_piece"]

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import itertools
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ from pyspark.sql import types as T
 
 from tokenloom.sources.config import TokenizerError
 
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+_STRING = T.StringType()
 #: What the basic tokenizer never splits, and the continuation sign and longest word of WordPiece.
 NEVER_SPLIT = ("[UNK]", "[SEP]", "[PAD]", "[CLS]", "[MASK]")
 CONTINUED, LONGEST_WORD, MOST_IDS = "##", 100, 512
@@ -157,42 +160,76 @@ def fuse(tokens: list[str], known: Callable[[str], bool]) -> list[str]:
     return [t for i, t in enumerate(tokens) if known(t) or not i or known(tokens[i - 1])]
 
 
-def _remembering(kernel: Callable[[str], list[str]]) -> Callable[[str], list[str]]:
-    memory: dict[str, list[str]] = {}
+class Remembering:
+    """A kernel that cuts each distinct word once, as long as REMEMBERED of them are kept; words of over 100 characters are not."""
 
-    def cut(word: str) -> list[str]:
-        found = memory.get(word)
+    def __init__(self, kernel: Callable[[str], list]):
+        self.kernel, self.memory = kernel, {}
+
+    def __call__(self, word: str | int) -> list:
+        found = self.memory.get(word)
         if found is None:
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-            found = memory[word] = kernel(word)
+            found = self.kernel(word)
+            if not isinstance(word, str) or len(word) <= LONGEST_WORD:
+                if len(self.memory) >= REMEMBERED:
+                    self.memory.clear()
+                self.memory[word] = found
         return found
 
-    return cut
+    def flat(self, words: pa.Array, kind: pa.DataType) -> tuple[pa.Array, np.ndarray]:
+        """What all words give, one after the other, and where each word's part begins (and the last ends)."""
+        coded = words.dictionary_encode()
+        made = [self(w) for w in coded.dictionary.to_pylist()]
+        lengths = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
+        begins, index = np.cumsum(lengths) - lengths, coded.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(lengths[index])))
+        source = np.repeat(begins[index] - ends[:-1], lengths[index]) + np.arange(ends[-1])
+        return pa.array(list(itertools.chain.from_iterable(made)), kind).take(pa.array(source)), ends
+
+
+def _lists(values: pa.Array, offsets: np.ndarray, missing: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=missing)
+
+
+def on_words(kernel: Callable[[str], list[str]], kind: T.DataType = _STRING) -> Callable[[Column], Column]:
+    """A column of words to a column of arrays of what the kernel makes of them; null stays null."""
+    cut, made = Remembering(kernel), pa.string() if kind == _STRING else pa.int32()
+
+    @F.arrow_udf(T.ArrayType(kind))
+    def column(words: pa.Array) -> pa.Array:
+        values, ends = cut.flat(words.fill_null(""), made)
+        return _lists(values, ends, words.is_null())
+
+    return column
 
 
-def on_words(kernel: Callable[[str], list[str]]) -> Callable[[Column], Column]:
-    """A column of words to a column of token arrays; null stays null."""
+def on_arrays(kernel: Callable[[str], list], kind: T.DataType = _STRING) -> Callable[[Column], Column]:
+    """A column of word arrays to the flat array of what the kernel makes of all their words; null stays null."""
+    cut, made = Remembering(kernel), pa.string() if kind == _STRING else pa.int32()
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = _remembering(kernel)
-        for words in batches:
-            yield words.map(lambda w: None if w is None else one(w))
+    @F.arrow_udf(T.ArrayType(kind))
+    def column(arrays: pa.Array) -> pa.Array:
+        values, ends = cut.flat(arrays.flatten(), made)
+        offsets = arrays.offsets.to_numpy()
+        return _lists(values, ends[offsets - offsets[0]], arrays.is_null())
 
-    return cut
+    return column
 
 
-def on_arrays(kernel: Callable[[str], list[str]]) -> Callable[[Column], Column]:
-    """A column of word arrays to the flat tokens of all their words; null stays null."""
+def to_text(pieces: list[str | None]) -> Callable[[Column], Column]:
+    """A column of id arrays to the texts of their pieces in a row; ids without a piece give nothing; null stays null."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = _remembering(kernel)
-        for arrays in batches:
-            yield arrays.map(lambda ws: None if ws is None else [t for w in ws for t in one(w)])
+    @F.arrow_udf(T.StringType())
+    def column(arrays: pa.Array) -> pa.Array:
+        known = pa.array([*pieces, None], pa.string())
+        flat, offsets = arrays.flatten().fill_null(-1).to_numpy(), arrays.offsets.to_numpy()
+        outside = (flat < 0) | (flat >= len(pieces))
+        found = known.take(pa.array(np.where(outside, len(pieces), flat))).fill_null("")
+        at = np.frombuffer(found.buffers()[1], dtype=np.int32, count=len(found) + 1, offset=4 * found.offset) if len(found) else np.zeros(1, dtype=np.int32)
+        out = pa.StringArray.from_buffers(len(arrays), pa.py_buffer(np.ascontiguousarray(at[offsets - offsets[0]], dtype=np.int32)), found.buffers()[2] or pa.py_buffer(b""))
+        return pa.array(np.zeros(0), pa.string()) if not len(arrays) else pa.compute.if_else(arrays.is_null(), None, out)
 
-    return cut
+    return column
 
 
 def fuse_column(tokens: Column, unknown: str) -> Column:

@@ -7,7 +7,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +16,37 @@ from tokenloom.functions.patterns import WS, literal, replacement, to_java
 from tokenloom.sources.config import TokenizerError, get
 
 Normalizer = Callable[[Column], Column]
+
+
+def each(step: Normalizer, texts: Column) -> Column:
+    """A normalizer over an array of texts.  Native steps go into a lambda; those in Python have an ``each`` of their own."""
+    return step.each(texts) if hasattr(step, "each") else F.transform(texts, step)
+
+
+def _batched(one: Callable[[str], str]) -> Normalizer:
+    """A Python function of texts as a normalizer, on columns and on arrays; a distinct text is worked on once in a batch."""
+
+    def mapped(texts: pa.Array) -> pa.Array:
+        coded = texts.dictionary_encode()
+        made = pa.array([None if t is None else one(t) for t in coded.dictionary.to_pylist()], pa.string())
+        return made.take(coded.indices)
+
+    @F.arrow_udf(T.StringType())
+    def column(texts: pa.Array) -> pa.Array:
+        return mapped(texts)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def arrays(lists: pa.Array) -> pa.Array:
+        offsets = lists.offsets.to_numpy()
+        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), mapped(lists.flatten()), mask=lists.is_null())
+
+    def step(c: Column) -> Column:
+        return column(c)
+
+    step.each = arrays
+    return step
+
+
 _FULL_WIDTH_TILDE = "\uFF5E"
 _CONTROL = re.compile("r[\x01-\x08\x0b\x0e-\x1f\x7f\x8f\x9f]")
 _CONTROL_STRICT = re.compile("[\x01-\x08\x0b\x0e-\x1f\x7f\x8f\x9f]")
@@ -23,23 +54,13 @@ _CONTROL_STRICT = re.compile("[\x01-\x08\x0b\x0e-\x1f\x7f\x8f\x9f]")
 
 def unicode_form(form: str) -> Normalizer:
     """NFC, NFD, NFKC or NFKD.  Spark has no built-in, so this is an Arrow batch function; ASCII texts pass untouched."""
-
-    @F.pandas_udf(T.StringType())
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
-
-    return normal
+    return _batched(lambda t: t if t.isascii() else unicodedata.normalize(form, t))
 
 
 def precompiled(strip_controls: bool = False) -> Normalizer:
     """NFKC around the full-width tilde.  As it is defined a control character only goes after an "r"; strip_controls removes all."""
     pattern = _CONTROL_STRICT if strip_controls else _CONTROL
-
-    @F.pandas_udf(T.StringType())
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _FULL_WIDTH_TILDE.join(unicodedata.normalize("NFKC", p) for p in pattern.sub("", t).split(_FULL_WIDTH_TILDE)))
-
-    return normal
+    return _batched(lambda t: _FULL_WIDTH_TILDE.join(unicodedata.normalize("NFKC", p) for p in pattern.sub("", t).split(_FULL_WIDTH_TILDE)))
 
 
 def prepend(text: str) -> Normalizer:
@@ -72,19 +93,28 @@ def space_ideographs(c: Column) -> Column:
     return F.regexp_replace(c, r"([\u4E00-\u9FFF\u3400-\u4DBF\uF900-\uFAFF])", " $1 ")
 
 
+def _without_marks(c: Column) -> Column:
+    return F.regexp_replace(c, r"[\u0300-\u036F]", "")
+
+
 def strip_accents(c: Column) -> Column:
     """Decomposes and drops combining marks; the rest stays decomposed."""
-    return F.regexp_replace(unicode_form("NFD")(c), r"[\u0300-\u036F]", "")
+    return _without_marks(unicode_form("NFD")(c))
 
 
 def bert(clean_text: bool = True, handle_chinese_chars: bool = True, lowercase: bool = True, strip: bool | None = None) -> Normalizer:
     steps: list[Normalizer] = [clean] * clean_text + [space_ideographs] * handle_chinese_chars
-    steps += [strip_accents] * (lowercase if strip is None else strip) + [F.lower] * lowercase
+    steps += [unicode_form("NFD"), _without_marks] * (lowercase if strip is None else strip) + [F.lower] * lowercase
     return sequence(steps)
 
 
 def sequence(steps: list[Normalizer]) -> Normalizer:
-    return lambda c: functools.reduce(lambda x, step: step(x), steps, c)
+    def run(c: Column) -> Column:
+        return functools.reduce(lambda x, step: step(x), steps, c)
+
+    if any(hasattr(step, "each") for step in steps):
+        run.each = lambda a: functools.reduce(lambda x, step: each(step, x), steps, a)
+    return run
 
 
 def build(config: dict | None) -> Normalizer | None:
@@ -114,4 +144,4 @@ def build(config: dict | None) -> Normalizer | None:
     raise TokenizerError("unsupported", f"normalizer {kind}")
 
 
-__all__ = ["Normalizer", "bert", "build", "clean", "literal", "precompiled", "prepend", "replace", "sequence", "space_ideographs", "strip", "strip_accents", "unicode_form"]
+__all__ = ["Normalizer", "bert", "build", "clean", "each", "literal", "precompiled", "prepend", "replace", "sequence", "space_ideographs", "strip", "strip_accents", "unicode_form"]

@@ -73,6 +73,30 @@ def sequence(steps: list[PostProcessor]) -> PostProcessor:
     return run
 
 
+def frame(config: dict | None, special: bool) -> tuple[list[str], list[str]] | None:
+    """The tokens before and after a single text, where a post-processor does no more than add such; None where it does."""
+    kind = (get(config, "type") or "").lower()
+    if kind in ("", "bytelevel"):
+        return [], []
+    if kind == "bertprocessing":
+        return ([_pair(config, "cls")], [_pair(config, "sep")]) if special else ([], [])
+    if kind == "templateprocessing":
+        items = [("special", get(get(x, "SpecialToken"), "id")) if get(x, "SpecialToken") is not None else ("text", get(get(x, "Sequence"), "id")) for x in get(config, "single", [])]
+        at = [k for k, x in enumerate(items) if x == ("text", "A")]
+        if len(at) != 1:
+            return None
+        return tuple([t for _, t in part if special] for part in (items[: at[0]], [x for x in items[at[0] + 1 :] if x[0] == "special"]))
+    if kind == "sequence":
+        before, after = [], []
+        for step in get(config, "processors", []):
+            found = frame(step, special)
+            if found is None:
+                return None
+            before, after = found[0] + before, after + found[1]
+        return before, after
+    return None
+
+
 def build(config: dict | None) -> PostProcessor | None:
     kind = get(config, "type")
     if kind is None:

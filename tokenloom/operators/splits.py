@@ -13,9 +13,16 @@ def _nonempty(c: Column) -> Column:
 
 
 def around(c: Column, pattern: str, kept: str = "$0") -> Column:
-    """Pieces between matches and what ``kept`` says of the matches, in order; empty pieces go."""
-    marked = F.regexp_replace(F.replace(c, F.lit(MARK), F.lit("")), pattern, f"{MARK}{kept}{MARK}")
-    return _nonempty(F.split(marked, MARK))
+    """Pieces between matches and what ``kept`` says of the matches, in order; empty pieces go.
+
+    One replacement puts marks around all matches.  Texts that hold the mark themselves are matched twice instead, for what is
+    between and for what matches; there an empty match parts nothing.
+    """
+    marked = F.split(F.regexp_replace(c, pattern, f"{MARK}{kept}{MARK}"), MARK)
+    between, matches = F.split(c, pattern, -1), F.filter(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda m: m != "")
+    said = matches if kept == "$0" else F.transform(matches, lambda m: F.regexp_replace(m, pattern, kept))
+    woven = F.flatten(F.zip_with(between, said, lambda x, m: F.array(F.coalesce(x, F.lit("")), F.coalesce(m, F.lit("")))))
+    return _nonempty(F.when(F.contains(c, F.lit(MARK)), woven).otherwise(marked))
 
 
 def by_delimiter(c: Column, delimiter: str, behavior: str = "removed") -> Column:

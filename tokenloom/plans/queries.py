@@ -6,7 +6,7 @@ import functools
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import bytemap, strings
@@ -108,7 +108,6 @@ _SPACED = "replace(text, ' ', '▁')"
 _array("p_bert", _pre({"type": "BertPreTokenizer"}), _extract(rf"[^{_WS}{_PUNCT}]+|[{_PUNCT}]"))
 _array("p_whitespace", _pre({"type": "WhitespaceSplit"}), _extract(rf"[^{_WS}]+"))
 _array("p_metaspace_always", _pre({"type": "Metaspace", "replacement": "▁", "addPrefixSpace": True}), f"regexp_extract_all(CASE WHEN starts_with({_SPACED}, '▁') THEN {_SPACED} ELSE '▁' || {_SPACED} END, '▁?[^▁]+|▁')")
-_array("p_metaspace_first", _pre({"type": "Metaspace", "replacement": "▁", "addPrefixSpace": True, "prependScheme": "first"}), f"regexp_extract_all(CASE WHEN starts_with({_SPACED}, '▁') THEN {_SPACED} ELSE '▁' || {_SPACED} END, '▁?[^▁]+|▁')")
 _array("p_metaspace_never", _pre({"type": "Metaspace", "replacement": "▁", "addPrefixSpace": True, "prependScheme": "never"}), f"regexp_extract_all({_SPACED}, '▁?[^▁]+|▁')")
 _array("p_bytelevel", _pre({"type": "ByteLevel"}), None)
 SQL["p_bytelevel"] = f"SELECT doc_id, n, {_mapped('toks', _BYTES)} AS toks FROM ({_listed(_PIECES)})"
@@ -127,6 +126,9 @@ _array("p_split_re", _pre({"type": "Split", "pattern": {"Regex": "[aeiou]+"}, "b
 _array("p_sequence", _pre({"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "Punctuation"}]}), f"flatten(list_transform({_extract(rf'[^{_WS}]+')}, lambda w: regexp_extract_all(w, '[^{_PUNCT}]+|[{_PUNCT}]+')))")
 
 _ADDED = [{"content": "the", "id": 1}, {"content": "ther", "id": 2}, {"content": "and", "id": 3}]
+_FIRST = pretokenizers.build({"type": "Metaspace", "replacement": "▁", "addPrefixSpace": True, "prependScheme": "first"})
+_SECTIONS_SQL = _cut("(ther)|(the)|(and)", r"\1\2\3")
+_array("p_metaspace_first", lambda c: F.flatten(F.transform(splits.sections(c, _ADDED), lambda x, i: _FIRST(x, i == 0))), f"flatten(list_transform(list_transform({_SECTIONS_SQL}, lambda x: replace(x, ' ', '▁')), lambda x, i: regexp_extract_all(CASE WHEN i = 1 AND NOT starts_with(x, '▁') THEN '▁' || x ELSE x END, '▁?[^▁]+|▁')))")
 _array("a_added_isolate", lambda c: splits.sections(c, _ADDED), _cut("(ther)|(the)|(and)", r"\1\2\3"))
 _STRIPPED = [{"content": "the", "id": 1, "lstrip": True, "rstrip": True}, {"content": "and", "id": 3, "rstrip": True}]
 _array("a_added_strip", lambda c: splits.sections(c, _STRIPPED), _cut(r"\s*(the)\s*|(and)\s*", r"\1\2"))
@@ -159,15 +161,22 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vocab(words: DataFrame) -> list[str]:
-    """Characters and the most frequent words: what a fixture vocabulary takes from the table, a bounded list."""
-    chars = [r[0] for r in words.select(F.explode(F.split("w", "")).alias("t")).filter("t <> ''").distinct().collect()]
-    top = [r[0] for r in words.orderBy(F.desc("c"), "w").limit(TOP_WORDS).select("w").collect()]
-    return sorted({*chars, *top} | {"##" + x for x in [*chars, *top]})
+    """Characters and the most frequent words: what a fixture vocabulary takes from the table, a bounded list, from one pass over it."""
+    top = words.withColumn("_k", F.row_number().over(Window.orderBy(F.desc("c"), "w"))).filter(F.col("_k") <= TOP_WORDS).select(F.col("w").alias("t"))
+    found = words.select(F.explode(F.array_distinct(F.split("w", ""))).alias("t")).filter("t <> ''").distinct().unionByName(top)
+    texts = [r[0] for r in found.collect()]
+    return sorted({*texts} | {"##" + x for x in texts})
+
+
+def _distinct(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """The distinct words, kept for the session as they are read twice, and the vocabulary of them."""
+    words = _words(spark, d).persist()
+    return words, _vocab(words)
 
 
 def _wordpiece(spark: SparkSession, d: str) -> DataFrame:
-    words = _words(spark, d)
-    kernel = models.WordPiece({t: i for i, t in enumerate(SPECIALS + _vocab(words))})
+    words, vocab = _distinct(spark, d)
+    kernel = models.WordPiece({t: i for i, t in enumerate(SPECIALS + vocab)})
     return words.select("w", models.on_words(kernel)(F.col("w")).alias("a")).select("w", F.size("a").alias("n"), F.array_join("a", SEP).alias("toks"))
 
 
@@ -203,6 +212,21 @@ SQL["m_bpe"] = f"{_BPE_SQL} SELECT w, CAST(len(a) AS INTEGER) AS n, array_to_str
 _FALL = r"flatten(list_transform(a, lambda p: CASE WHEN regexp_matches(p, '^[!-~]+$') THEN [p] ELSE regexp_extract_all(regexp_replace(hex(encode(p)), '(..)', '<0x\1>', 'g'), '<0x..>') END))"
 SQL["m_bpe_bytefallback"] = f"{_BPE_SQL} SELECT w, CAST(len(b) AS INTEGER) AS n, array_to_string(b, '{SEP}') AS toks FROM (SELECT w, {_FALL} AS b FROM done)"
 QUERIES["m_unigram"] = _bpe(models.Unigram(UNIGRAM))
+_SCORES_SQL = "MAP {" + ", ".join(f"{_q(t)}: CAST({s!r} AS DOUBLE)" for t, s in UNIGRAM) + "}"
+_PENALTY_SQL = f"CAST({min(s for _, s in UNIGRAM) - 10!r} AS DOUBLE)"
+#: For each place in a word the best score so far and the length of the last piece; of equal scores the longer piece.
+SQL["m_unigram"] = f"""WITH RECURSIVE {_WORDS_SQL}, known AS (SELECT {_SCORES_SQL} AS m),
+st(w, pos, best, last) AS (
+  SELECT w, 0, [CAST(0 AS DOUBLE)], CAST([] AS BIGINT[]) FROM words
+  UNION ALL
+  SELECT w, pos + 1, list_append(best, list_max(c)), list_append(last, CAST(len(c) + 1 - list_position(list_reverse(c), list_max(c)) AS BIGINT)) FROM (
+    SELECT w, pos, best, last, list_transform(range(1, least(pos + 1, {max(len(t) for t, _ in UNIGRAM)}) + 1), lambda l: best[pos + 2 - l] + coalesce(map_extract_value(m, substr(w, pos + 2 - l, l)), CASE WHEN l = 1 THEN {_PENALTY_SQL} END)) AS c
+    FROM st, known WHERE pos < length(w))),
+back(w, pos, last, a) AS (
+  SELECT w, pos, last, CAST([] AS VARCHAR[]) FROM st WHERE pos = length(w)
+  UNION ALL
+  SELECT w, pos - last[pos], last, list_prepend(substr(w, pos - last[pos] + 1, last[pos]), a) FROM back WHERE pos > 0)
+SELECT w, CAST(len(a) AS INTEGER) AS n, array_to_string(a, '{SEP}') AS toks FROM back WHERE pos = 0"""
 
 
 def _prefix_search(spark: SparkSession, d: str) -> DataFrame:
@@ -213,22 +237,20 @@ def _prefix_search(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["m_prefix_search"] = _prefix_search
 SQL["m_prefix_search"] = f"WITH {_WORDS_SQL}, pieces(t) AS (VALUES {', '.join(f'({_q(m.replace(chr(32), chr(0)[:0]))})' for m in MERGES)}) SELECT w AS word, t AS piece, CAST(length(t) AS INTEGER) AS length FROM words, pieces WHERE starts_with(w, t)"
-_array("m_basic", lambda c: pretokenizers.bert(F.lower(normalizers.strip_accents(c)), F.lit(True)), _extract(rf"[^{_WS}{_PUNCT}]+|[{_PUNCT}]", "lower(strip_accents(text))"))
+_array("m_basic", models.on_words(models.basic_words), _extract(rf"[^{_WS}{_PUNCT}]+|[{_PUNCT}]", "lower(strip_accents(text))"))
 _KNOWN = ("the", "of", "and", "de", "la", "der", "que", "a", "in", "to")
-_UNK_SQL = f"list_transform({_extract(rf'[^{_WS}]+')}, lambda w: CASE WHEN w IN ({', '.join(map(_q, _KNOWN))}) THEN w ELSE '[UNK]' END)"
-
-
-def _with_unknown(c: Column) -> Column:
-    return F.transform(pretokenizers.whitespace(c, F.lit(True)), lambda w: F.when(w.isin(*_KNOWN), w).otherwise(F.lit("[UNK]")))
+_VOWELS = "aeiou"
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).select("doc_id", _with_unknown(F.col("text")).alias("a"))
-    return rows.select("doc_id", models.fuse_column(F.col("a"), "[UNK]").alias("a")).select("doc_id", F.size("a").alias("n"), F.array_join("a", SEP).alias("toks"))
+    """The characters of words; of each run of others than vowels within a word only the first stays."""
+    cut = models.on_arrays(lambda w: models.fuse(list(w), lambda t: t in _VOWELS))
+    rows = _docs(spark, d).select("doc_id", cut(pretokenizers.whitespace(F.col("text"), F.lit(True))).alias("a"))
+    return rows.select("doc_id", F.size("a").alias("n"), F.array_join("a", SEP).alias("toks"))
 
 
 QUERIES["m_fuse_unk"] = _fused
-SQL["m_fuse_unk"] = f"SELECT doc_id, CAST(len(b) AS INTEGER) AS n, array_to_string(b, '{SEP}') AS toks FROM (SELECT doc_id, list_filter(a, lambda x, i: NOT (x = '[UNK]' AND i > 1 AND a[i - 1] = '[UNK]')) AS b FROM (SELECT doc_id, {_UNK_SQL} AS a FROM documents))"
+SQL["m_fuse_unk"] = _listed(f"flatten(list_transform({_extract(rf'[^{_WS}]+')}, lambda w: list_filter(regexp_extract_all(w, '(?s).'), lambda x, i: x IN ('a', 'e', 'i', 'o', 'u') OR i = 1 OR substr(w, i - 1, 1) IN ('a', 'e', 'i', 'o', 'u'))))")
 _VALUES = ", ".join(f"({_q(w)}, {i})" for i, w in enumerate(_KNOWN))
 
 
@@ -313,11 +335,10 @@ def _roundtrip(skip: bool) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         t = Tokenizer({**_BYTE_SETTINGS, "clean_up_tokenization_spaces": False}, {**_BYTE_DATA, "added_tokens": [] if not skip else _BYTE_DATA["added_tokens"]})
         docs = _docs(spark, d)
-        if skip:
-            ids = F.concat(F.array(F.lit(300)), F.transform(F.split(F.regexp_replace("text", "[^a-z]", ""), ""), lambda c: F.ascii(c)), F.array(F.lit(300)))
-            plain = F.filter(ids, lambda i: i > 0)
-            # letters are their own bytes and ids here
-            return docs.select("doc_id", t.decode(plain, skip_special=True).alias("out"))
+        if skip:  # letters are their own bytes and ids here; a special id stands after each e, and at both ends
+            letters = F.flatten(F.transform(F.split(F.regexp_replace("text", "[^a-z]", ""), ""), lambda c: F.when(c == "e", F.array(F.ascii(c), F.lit(300))).otherwise(F.array(F.ascii(c)))))
+            ids = F.concat(F.array(F.lit(300)), F.filter(letters, lambda i: i > 0), F.array(F.lit(300)))
+            return docs.select("doc_id", t.decode(ids, skip_special=True).alias("out"))
         return t.encode(docs).select("doc_id", t.decode(F.col("ids")).alias("out"))
 
     return run
@@ -326,7 +347,7 @@ def _roundtrip(skip: bool) -> Query:
 QUERIES["d_roundtrip"] = _roundtrip(False)
 SQL["d_roundtrip"] = "SELECT doc_id, text AS out FROM documents"
 QUERIES["d_skip_special"] = _roundtrip(True)
-SQL["d_skip_special"] = "SELECT doc_id, regexp_replace(text[1:500], '[^a-z]', '', 'g') AS out FROM documents"
+SQL["d_skip_special"] = "SELECT doc_id, regexp_replace(text, '[^a-z]', '', 'g') AS out FROM documents"
 
 # ---- chat ----------------------------------------------------------------------------------------------------------
 
@@ -347,7 +368,17 @@ QUERIES["c_template"] = _chat(lambda m: chat.render(m, {"chat_template": _NAMED}
 SQL["c_template"] = SQL["c_generation_prompt"]
 QUERIES["c_named_template"] = _chat(lambda m: chat.render(m, {"chat_template": _NAMED, "bos_token": "<s>"}, name="short"))
 SQL["c_named_template"] = r"SELECT conv_id, '<s>' || string_agg(upper(role) || '=' || regexp_replace(text, '^\s+|\s+$', '', 'g'), '|' ORDER BY turn, role, text) AS out FROM conversations GROUP BY conv_id"
-_array("c_truncate", lambda c: chat.truncate(pretokenizers.whitespace(c, F.lit(True)), 20, 8), f"({_extract(rf'[^{_WS}]+')})[1:8]")
+
+
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations rendered, cut into characters (a blank is none) and truncated to 40 ids, which are code points here."""
+    t = Tokenizer({"tokenizer_class": "GPT2Tokenizer", "chat_template": _NAMED, "model_max_length": 60}, {"model": {"vocab": {chr(i): i for i in range(1, 0x2100)}, "merges": []}})
+    ids = t.apply_chat_template(chat.conversations(_table(spark, d, "conversations")), max_length=40, truncation=True)
+    return ids.select("conv_id", F.size("ids").alias("n"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+QUERIES["c_truncate"] = _truncated
+SQL["c_truncate"] = f"SELECT conv_id, CAST(len(a) AS INTEGER) AS n, array_to_string(a, ' ') AS ids FROM (SELECT conv_id, list_transform(regexp_extract_all(replace(out, ' ', ''), '(?s).')[1:40], lambda c: CAST(unicode(c) AS VARCHAR)) AS a FROM ({SQL['c_generation_prompt']}))"
 
 # ---- sources -------------------------------------------------------------------------------------------------------
 
@@ -415,12 +446,26 @@ SQL["e_tokens_by_lang"] = f"SELECT lang, count(*) AS docs, CAST(sum(len({_PIECES
 
 
 def _bert_encode(spark: SparkSession, d: str) -> DataFrame:
-    vocab = {t: i for i, t in enumerate(SPECIALS + _vocab(_words(spark, d)))}
+    vocab = {t: i for i, t in enumerate(SPECIALS + _distinct(spark, d)[1])}
     t = Tokenizer({"tokenizer_class": "BertTokenizer"}, {"normalizer": {"type": "BertNormalizer", "strip_accents": False}, "pre_tokenizer": {"type": "BertPreTokenizer"}, "post_processor": {"type": "BertProcessing", "sep": ["[SEP]", 3], "cls": ["[CLS]", 2]}, "model": {"vocab": vocab}})
     return t.encode(_docs(spark, d)).select("doc_id", F.size("ids").alias("n"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 QUERIES["m_bert_encode"] = _bert_encode
+#: Distinct words without accents are cut once, then put together by document; every character is a piece, so all can be cut.
+SQL["m_bert_encode"] = f"""WITH RECURSIVE {_VOCAB_SQL}, ids AS (SELECT t, row_number() OVER (ORDER BY t) + {len(SPECIALS) - 1} AS id FROM vocab),
+dw AS (SELECT doc_id, strip_accents(unnest(a)) AS w, unnest(range(1, len(a) + 1)) AS k FROM (SELECT doc_id, {_extract(rf"[^{_WS}{_PUNCT}]+|[{_PUNCT}]", "lower(text)")} AS a FROM documents)),
+st(w, pos, cut, n) AS (
+  SELECT DISTINCT w, 1, CAST('' AS VARCHAR), 0 FROM dw
+  UNION ALL
+  SELECT w, pos + i, CASE WHEN n = 0 THEN CAST(id AS VARCHAR) ELSE cut || ' ' || id END, n + 1 FROM (
+    SELECT st.w, st.pos, st.cut, st.n, l.i, v.id, row_number() OVER (PARTITION BY st.w ORDER BY l.i DESC) AS r
+    FROM st, range(1, 40) l(i), ids v
+    WHERE v.t = (CASE WHEN st.pos > 1 THEN '##' ELSE '' END) || substr(st.w, st.pos, l.i) AND st.pos + l.i <= length(st.w) + 1) WHERE r = 1),
+done AS (SELECT w, CASE WHEN length(w) > 100 THEN '1' ELSE cut END AS cut, CASE WHEN length(w) > 100 THEN 1 ELSE n END AS n FROM st WHERE pos = length(w) + 1 AND w <> ''),
+both_ AS (SELECT doc_id, string_agg(cut, ' ' ORDER BY k) AS cut, sum(n) AS n FROM dw JOIN done USING (w) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) + 2 AS INTEGER) AS n, concat_ws(' ', '2', cut, '3') AS ids FROM documents d LEFT JOIN both_ b ON d.doc_id = b.doc_id WHERE d.text IS NOT NULL
+UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL"""
 
 
 def _byte_encode(spark: SparkSession, d: str) -> DataFrame:
@@ -428,6 +473,17 @@ def _byte_encode(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["e_encode_bytes"] = _byte_encode
+_MERGED = [("Ġt", "\ue001"), ("he", "\ue002"), ("\ue001\ue002", "\ue003")]
+_BYTE_IDS = {c: i for i, c in enumerate(bytemap.ALPHABET)} | {"\ue001": 256, "\ue002": 257, "\ue003": 258}
+
+
+def _numbers(a: str, source: str = "documents") -> str:
+    return f"SELECT doc_id, CAST(len(a) AS INTEGER) AS n, array_to_string(a, ' ') AS ids FROM (SELECT doc_id, {a} AS a FROM {source})"
+
+
+#: No merge can cross two words of the pattern, so merges are replacements in the whole text, lowest rank first.
+_MERGED_SQL = functools.reduce(lambda x, p: f"replace({x}, {_q(p[0])}, {_q(p[1])})", _MERGED, _mapped("text", _BYTES))
+SQL["e_encode_bytes"] = _numbers(f"list_transform(regexp_extract_all({_MERGED_SQL}, '(?s).'), lambda c: map_extract_value(MAP {{{', '.join(f'{_q(c)}: {i}' for c, i in _BYTE_IDS.items())}}}, c))")
 
 
 def _llama(spark: SparkSession, d: str) -> DataFrame:
@@ -437,6 +493,8 @@ def _llama(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["e_encode_llama"] = _llama
+_LLAMA_SQL = "replace(replace(CASE WHEN starts_with(text, 'the') OR starts_with(text, ' ') OR starts_with(text, '▁') THEN text ELSE '▁' || text END, ' ', '▁'), 'the', chr(57345))"
+SQL["e_encode_llama"] = _numbers(f"list_concat([1], flatten(list_transform(regexp_extract_all({_LLAMA_SQL}, '(?s).'), lambda c: CASE WHEN c = chr(57345) THEN [2] WHEN c = '▁' THEN [300] WHEN c BETWEEN '!' AND '~' AND length(c) = 1 THEN [unicode(c) - 33 + 301] ELSE list_transform(regexp_extract_all(hex(encode(c)), '..'), lambda h: CAST('0x' || h AS INTEGER) + 3) END)))", "(SELECT * FROM documents WHERE text IS NOT NULL)") + " UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL"
 
 
 def queries() -> dict[str, Query]:

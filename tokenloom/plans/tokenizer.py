@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,8 @@ from tokenloom.operators import chat, decoders, models, normalizers, postprocess
 from tokenloom.sources import folder
 from tokenloom.sources.config import TokenizerError, as_token, get, merged
 
+#: Stands before an added token among words, which then is no word that the model cuts.
+ADDED = "\ufdd0"
 #: The tokenizer classes (without "Fast") by kind of model.
 BERT = ("BertTokenizer", "DistilbertTokenizer", "DistilBertTokenizer")
 BPE = ("CodeGenTokenizer", "CodeLlamaTokenizer", "FalconTokenizer", "GemmaTokenizer", "GPT2Tokenizer", "Gpt2Tokenizer", "LlamaTokenizer", "WhisperTokenizer", "CohereTokenizer", "Qwen2Tokenizer", "PreTrainedTokenizer")
@@ -95,56 +98,55 @@ class Tokenizer:
 
     # ---- whole texts
 
-    def sections(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """Adds one row per section: _row, _section, _words.  Added tokens are words of their own."""
-        names = [F.lit(x) for x in self.added_ids]
-        rows = df.withColumn("_row", F.monotonically_increasing_id()).select("*", F.posexplode(splits.sections(F.col(text_col), self.added)).alias("_section", "_text"))
-        is_added = F.col("_text").isin(*names) if names else F.lit(False)
-        normal = rows.withColumn("_added", is_added).withColumn("_normal", self.normalize(F.col("_text")))
-        words = self.pre_tokenize(F.col("_normal"), F.col("_section") == 0)
-        return normal.withColumn("_words", F.when(F.col("_added"), F.array("_text")).otherwise(words)).drop("_normal")
+    def words(self, text: Column) -> Column:
+        """The words of a text.  Added tokens are words of their own, each marked by ADDED before it."""
+        if not self.added:
+            return self.pre_tokenize(self.normalize(text))
+        found = splits.flagged(text, self.added)
+        texts = F.transform(found, lambda s: s["text"])
+        normal = normalizers.each(self._normalizer, texts) if self._normalizer else texts
+        both = F.zip_with(found, normal, lambda s, t: F.struct(s["text"].alias("text"), s["is_match"].alias("added"), t.alias("normal")))
+        return F.flatten(F.transform(both, lambda s, i: F.when(s["added"], F.array(F.concat(F.lit(ADDED), s["text"]))).otherwise(self.pre_tokenize(s["normal"], i == 0))))
 
-    def tokens(self, words: Column) -> Column:
-        """The model on an array of words; unknown runs are fused within each word."""
-        kernel, unknown = self.kernel, self.unknown
-        added = frozenset(self.added_ids)
-        fuses = self.fuses
-        known = self.vocab
+    def _cutter(self) -> Callable[[str], list[str]]:
+        """From a word to its tokens; unknown runs are fused within it."""
+        kernel, vocab, unknown, fuses, added = self.kernel, self.vocab, self.unknown, self.fuses, frozenset(self.added_ids)
 
         def cut(word: str) -> list[str]:
-            if word in added:
-                return [word]
+            if added and word.startswith(ADDED) and word[1:] in added:
+                return [word[1:]]
             out = kernel(word)
-            return models.fuse(out, lambda t: t in known and t != unknown) if fuses else out
+            return models.fuse(out, lambda t: t in vocab and t != unknown) if fuses else out
 
-        return models.on_arrays(cut)(words)
+        return cut
 
-    def tokenize(self, df: DataFrame, text_col: str = "text", to: str = "tokens") -> DataFrame:
-        """Adds the token array of every text.
+    def tokens(self, words: Column) -> Column:
+        """The model on an array of words."""
+        return models.on_arrays(self._cutter())(words)
 
-        Without added tokens this is a projection.  With them a text's sections are rows for a while and are put together in
-        order; nulls stay null.
-        """
-        if not self.added:
-            return df.withColumn("_normal", self.normalize(F.col(text_col))).withColumn(to, self.tokens(self.pre_tokenize(F.col("_normal")))).drop("_normal")
-        cut = self.sections(df, text_col).withColumn("_tokens", self.tokens(F.col("_words")))
-        whole = cut.groupBy("_row", *[F.col(c) for c in df.columns]).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_section", "_tokens"))), lambda x: x["_tokens"])).alias(to))
-        none = df.filter(F.col(text_col).isNull()).withColumn(to, F.lit(None).cast("array<string>"))
-        return whole.drop("_row").unionByName(none)
+    def tokenize(self, df: DataFrame, text_col: str = "text", to: str = "tokens") -> DataFrame:
+        """Adds the token array of every text, as a projection; nulls stay null."""
+        return df.withColumn(to, self.tokens(self.words(F.col(text_col))))
 
     def ids(self, tokens: Column) -> Column:
         """Ids of a token array by the vocabulary; null where a token has none and there is no unknown id."""
         vocab, other = self.vocab, self.unknown_id
-
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def look(arrays: pd.Series) -> pd.Series:
-            return arrays.map(lambda ts: None if ts is None else [vocab.get(t, other) for t in ts])
-
-        return look(tokens)
+        return models.on_arrays(lambda t: [vocab.get(t, other)], T.IntegerType())(tokens)
 
     def encode(self, df: DataFrame, text_col: str = "text", to: str = "ids", special: bool = True, strict: bool = False) -> DataFrame:
-        """Adds the id array of every text; strict makes a token without id an error."""
-        out = self.tokenize(df, text_col, "_tokens").withColumn(to, self.ids(self.post_process(F.col("_tokens"), None, special))).drop("_tokens")
+        """Adds the id array of every text; strict makes a token without id an error.
+
+        From words to ids is one Arrow function, unless the post-processor changes tokens that are not its own.
+        """
+        words, cut, vocab, other = self.words(F.col(text_col)), self._cutter(), self.vocab, self.unknown_id
+        around = postprocessors.frame(get(self.data, "postProcessor"), special)
+        if around is None:
+            made = self.ids(self.post_process(self.tokens(words), None, special))
+        else:
+            ids = models.on_arrays(lambda w: [vocab.get(t, other) for t in cut(w)], T.IntegerType())(words)
+            before, after = (F.array(*(F.lit(vocab.get(t, other)).cast("int") for t in side)).cast("array<int>") for side in around)
+            made = F.concat(before, ids, after) if any(around) else ids
+        out = df.withColumn(to, made)
         if strict:
             out = out.withColumn(to, F.when(F.exists(to, lambda x: x.isNull()), F.raise_error(F.lit("a token has no id")).cast("array<int>")).otherwise(F.col(to)))
         return out
@@ -152,13 +154,14 @@ class Tokenizer:
     def decode(self, ids: Column, skip_special: bool = False) -> Column:
         """Text of an id array: special ids dropped if asked for, unknown ids dropped, decoder, joined, tidied."""
         tokens: dict[int, str] = {i: t for t, i in self.vocab.items()}
-
-        @F.pandas_udf(T.ArrayType(T.StringType()))
-        def look(arrays: pd.Series) -> pd.Series:
-            return arrays.map(lambda xs: None if xs is None else [tokens[int(x)] for x in xs if x is not None and int(x) in tokens])
-
-        kept = F.filter(ids, lambda x: ~x.isin(self.special_ids)) if skip_special and self.special_ids else ids
-        text = F.array_join(self.decode_tokens(look(kept)), "")
+        if skip_special:
+            tokens = {i: t for i, t in tokens.items() if i not in set(self.special_ids)}
+        if decoders.joins_first(get(self.data, "decoder"), list(self.added_ids)) and max(tokens, default=0) < 4 * len(tokens) + 1000:
+            joined = models.to_text([tokens.get(i) for i in range(max(tokens, default=-1) + 1)])(ids.cast("array<long>"))
+            text = F.array_join(self.decode_tokens(F.array(joined)), "")
+        else:
+            look = models.on_arrays(lambda i: [tokens[int(i)]] if i is not None and int(i) in tokens else [])
+            text = F.array_join(self.decode_tokens(look(ids.cast("array<long>"))), "")
         return decoders.clean_up(text) if self.clean_up else text
 
     def apply_chat_template(self, df: DataFrame, messages_col: str = "messages", to: str = "ids", max_length: int | None = None, truncation: bool = False, **how) -> DataFrame:
@@ -168,14 +171,29 @@ class Tokenizer:
     def has_chat_template(self) -> bool:
         return get(self.settings, "chatTemplate") is not None
 
+    def special_tokens(self) -> dict[str, tuple[str, int | None]]:
+        """The special tokens that the settings name, as they are called there, each with its text and id."""
+        named = {k: as_token(get(self.settings, k)) for k in ("bosToken", "eosToken", "unkToken", "sepToken", "padToken", "clsToken", "maskToken")}
+        ids = {**self.added_ids, **self.vocab}
+        return {k.removesuffix("Token"): (t, ids.get(t)) for k, t in named.items() if t is not None}
+
     def register(self, spark, name: str) -> None:
-        """A SQL table function name(text) with (pos, token, id), for LATERAL joins over texts without added tokens."""
-        kernel, vocab, other = self.kernel, self.vocab, self.unknown_id
+        """A SQL table function name(words) with (pos, token, id), for LATERAL joins.
+
+        Its words are those of ``words``, so that they are made as the description says: SELECT t.* FROM docs, LATERAL name(words) t.
+        A description that has neither added tokens nor normalizer nor pre-tokenizer takes a text as it is, too.
+        """
+        cut, vocab, other = self._cutter(), self.vocab, self.unknown_id
+        whole = not (self.added or self._normalizer or self._pre)
 
         @F.udtf(returnType="pos int, token string, id int")
         class Tokens:
-            def eval(self, text: str):  # noqa: ANN201
-                for i, t in enumerate(t for w in (text or "").split() for t in kernel(w)):
+            def eval(self, words):  # noqa: ANN001, ANN201
+                if isinstance(words, str):
+                    if not whole:
+                        raise ValueError("the description makes words of a text first")
+                    words = [words]
+                for i, t in enumerate(t for w in words or [] for t in cut(w)):
                     yield i, t, vocab.get(t, other)
 
         spark.udtf.register(name, Tokens)

@@ -9,9 +9,7 @@ from tokenloom.plans.tokenizer import Tokenizer
 
 
 def encode_stream(stream: DataFrame, tokenizer: Tokenizer, text_col: str = "text", to: str = "ids") -> DataFrame:
-    """Ids of a stream's texts; only for descriptions without added tokens, as putting sections together needs a state."""
-    if tokenizer.added:
-        raise ValueError("added tokens need sections to be put together")
+    """Ids of a stream's texts."""
     return tokenizer.encode(stream, text_col, to)
 
 
