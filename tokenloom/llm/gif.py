@@ -17,10 +17,15 @@ from pyspark.sql import functions as F
 from tokenloom.llm._common import utf8
 
 #: Samples a row, rows a frame at most, hundredths of a second a frame.
-WIDTH, ROWS, DELAY = 64, 4096, 10
+WIDTH, ROWS, DELAY = 64, 64, 10
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
-#: Literals between two clear codes: the 9-bit width holds for so many, since a reader adds an entry for each code after the first.
-RUN = 254
+WARM, COOL = (np.stack([np.arange(256) * k // 4 for k in x], axis=1).astype(np.uint8) for x in ((4, 2, 1), (1, 2, 4)))
+#: What frames get by turns: their own palette (None: the common one), disposal, whether their rows are interlaced.
+TURNS = ((None, 1, False), (WARM, 2, True), (None, 3, False), (COOL, 2, True))
+#: The index that is not painted: the byte that pads a text.
+CLEAR = 0
+#: A frame with more samples is refused.
+MOST = 1 << 28
 
 
 class GifError(ValueError):
@@ -29,7 +34,8 @@ class GifError(ValueError):
 
 @dataclass
 class Frame:
-    """indices as stored (rows in order), the box on the canvas, the RGB canvas as shown, when and how long it shows."""
+    """indices as stored (rows in order), the box on the canvas, the RGB canvas as shown (as far as any frame has reached), when
+    and how long it shows."""
 
     indices: np.ndarray
     left: int
@@ -44,91 +50,120 @@ class Frame:
 # ---- LZW -----------------------------------------------------------------------------------------------------------
 
 
-def lzw_literals(samples: np.ndarray) -> bytes:
-    """8-bit samples as a valid LZW stream of literals: a clear code comes before the code width would grow to ten bits."""
-    n = len(samples)
-    runs = max(1, -(-n // RUN))
-    codes = np.full((runs, RUN + 1), 257, dtype=np.uint16)
-    codes[:, 0] = 256
-    flat = np.full(runs * RUN, 257, dtype=np.uint16)
-    flat[:n] = samples
-    codes[:, 1:] = flat.reshape(runs, RUN)
-    codes = codes.ravel()[: n + runs]
-    codes = np.append(codes, 257).astype(np.uint16)
-    # eight 9-bit codes fill nine bytes, lowest bits first
-    count = len(codes)
-    padded = np.zeros(-(-count // 8) * 8, dtype=np.uint16)
-    padded[:count] = codes
-    c = padded.reshape(-1, 8)
-    out = np.empty((len(c), 9), dtype=np.uint8)
-    out[:, 0] = c[:, 0] & 255
-    for k in range(1, 8):
-        out[:, k] = (c[:, k - 1] >> (9 - k)) | ((c[:, k] << k) & 255)
-    out[:, 8] = c[:, 7] >> 1
-    return out.tobytes()[: -(-count * 9 // 8)]
-
-
-def _codes9(data: np.ndarray) -> np.ndarray:
-    n = len(data) * 8 // 9
-    d = np.zeros(-(-n // 8) * 9, dtype=np.uint16)
-    d[: min(len(data), len(d))] = data[: len(d)]
-    d = d.reshape(-1, 9)
-    out = np.empty((len(d), 8), dtype=np.uint16)
-    for k in range(8):
-        out[:, k] = ((d[:, k] >> k) | (d[:, k + 1] << (8 - k))) & 511
-    return out.ravel()[:n]
+@functools.cache
+def _widths(least: int) -> np.ndarray:
+    """The bits of each code after a clear code, as long as the table grows: a reader adds an entry with every code but the first."""
+    entries = (1 << least) + 2 + np.maximum(0, np.arange(4098 - (1 << least)) - 1)
+    return np.clip(np.floor(np.log2(entries)).astype(np.int64) + 1, least + 1, 12)
+
+
+@functools.cache
+def _table() -> list[int]:
+    """By a code and the sample after it, the entry for both, times 256; 0 where there is none.  Callers leave it as they found it."""
+    return [0] * (4096 << 8)
+
+
+def lzw_encode(samples: bytes, least: int = 8) -> bytes:
+    """Samples of ``least`` bits as an LZW stream; where the table is full a clear code begins a new one."""
+    clear, end = 1 << least, (1 << least) + 1
+    table, prefix, new, full = _table(), samples[0] << 8, (end + 1) << 8, 4096 << 8
+    tables: list[list[int]] = [[]]
+    put = tables[0].append
+    for sample in samples[1:]:
+        key = prefix | sample
+        if code := table[key]:
+            prefix = code
+            continue
+        put(key)  # the code before the sample goes out, and both are a new entry
+        table[key] = new
+        prefix = sample << 8
+        new += 256
+        if new == full:
+            for key in tables[-1]:
+                table[key] = 0
+            tables.append([])
+            put, new = tables[-1].append, (end + 1) << 8
+    for key in tables[-1]:
+        table[key] = 0
+    tables[-1].append(prefix)
+    codes = np.concatenate([np.array([clear << 8, *t], dtype=np.int32) for t in tables] + [np.array([end << 8], dtype=np.int32)]) >> 8
+    since = np.concatenate([np.maximum(0, np.arange(len(t) + 1) - 1) for t in tables] + [[len(tables[-1])]])
+    since[np.cumsum([0, *(len(t) + 1 for t in tables[:-1])])] = [0, *(len(t) for t in tables[:-1])]  # a clear code is as long as the codes before it
+    width, bit = _widths(least)[since], np.arange(12, dtype=np.int32)
+    return np.packbits((codes[:, None] >> bit & 1).astype(np.uint8)[bit < width[:, None]], bitorder="little").tobytes()
+
+
+def _unrolled(codes: np.ndarray, least: int, known: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The samples of codes that follow a clear code, or follow a full table, and that table: its samples and where entries begin.
+
+    Entry k of the table is what code k of the stream stood for and one sample more, which is how the next code begins.  So a
+    code of an entry repeats samples that begin where code k began; chains of such references are followed by doubling.
+    """
+    of = codes - (1 << least) - 2  # the entry; below 0 a sample
+    if known is not None:
+        before, starts = known
+        if (of >= len(starts) - 1).any():
+            raise GifError("LZW code beyond the table")
+        entry = np.maximum(of, 0)
+        length = np.where(of < 0, 1, starts[entry + 1] - starts[entry] + 1)
+        source = np.repeat(starts[entry], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        return np.where(np.repeat(of < 0, length), np.repeat(codes, length), before[np.minimum(source, len(before) - 1)]).astype(np.uint8), known
+    index = np.arange(len(codes))
+    if (of >= index).any():
+        raise GifError("LZW code beyond the table")
+    parent, length = np.where(of < 0, index, of), (of >= 0).astype(np.int64)
+    while (length[parent] > 0).any():
+        length, parent = length + length[parent], parent[parent]
+    length += 1
+    starts = np.concatenate(([0], np.cumsum(length)))
+    is_sample = np.repeat(of < 0, length)
+    place = np.arange(starts[-1])
+    source = np.where(is_sample, place, np.repeat(starts[np.maximum(of, 0)] - starts[:-1], length) + place)
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    out = np.repeat(codes, length)[source].astype(np.uint8)
+    return out, (out, starts[: 4096 - (1 << least) - 2 + 1])
 
 
 def lzw_decode(data: bytes, least: int, size: int) -> np.ndarray:
     """At most ``size`` samples of an LZW code stream with ``least`` bits a sample.
 
-    A stream of 8-bit literals with clear codes at most 255 codes apart never widens: such are decoded whole in numpy.  Every
-    other stream goes code by code with a growing table.
+    Codes are taken from the bits as if no clear code came until a table is full; those after one are taken anew.
     """
-    if least == 8:
-        codes = _codes9(np.frombuffer(data, dtype=np.uint8))
-        ends = np.flatnonzero(codes == 257)
-        if len(ends):
-            codes = codes[: ends[0]]
-            clears = np.flatnonzero(codes == 256)
-            if len(clears) and clears[0] == 0 and np.diff(np.append(clears, len(codes))).max() <= RUN + 1 and codes.max(initial=0) <= 256:
-                return codes[codes < 256].astype(np.uint8)[:size]
-    return _lzw_general(data, least, size)
-
-
-def _lzw_general(data: bytes, least: int, size: int) -> np.ndarray:
-    if not 1 <= least <= 11:
+    if not 1 <= least <= 8:
         raise GifError(f"LZW code size {least}")
     clear, end = 1 << least, (1 << least) + 1
-    literals = [bytes([i & 255]) for i in range(clear)] + [b"", b""]
-    table, width, last = list(literals), least + 1, None
-    out, made, held, bits = [], 0, 0, 0
-    for byte in data:
-        held |= byte << bits
-        bits += 8
-        while bits >= width:
-            code, held, bits = held & ((1 << width) - 1), held >> width, bits - width
-            if code == clear:
-                table, width, last = list(literals), least + 1, None
-                continue
-            if code == end or made >= size:
-                return np.frombuffer(b"".join(out)[:size], dtype=np.uint8)
-            if last is None:
-                if code > end:
-                    raise GifError("an LZW stream begins with an unknown code")
-                entry = table[code]
-            else:
-                if code > len(table):
-                    raise GifError("LZW code beyond the table")
-                entry = table[code] if code < len(table) else last + last[:1]
-                if len(table) < 4096:
-                    table.append(last + entry[:1])
-            if len(table) == 1 << width and width < 12:
-                width += 1
-            last = entry
-            out.append(entry)
-            made += len(entry)
-    return np.frombuffer(b"".join(out)[:size], dtype=np.uint8)
+    raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8)
+    growing = _widths(least)
+    known, at, made, out = None, 0, 0, []
+    while made < size:
+        width = growing if known is None else np.full(4096, 12)
+        ends = at + np.cumsum(width)
+        n = int(np.searchsorted(ends, len(data) * 8, side="right"))
+        if not n:
+            break
+        width, starts = width[:n], ends[:n] - width[:n]
+        first = starts >> 3
+        bits = raw[first].astype(np.int64) | raw[first + 1].astype(np.int64) << 8 | raw[first + 2].astype(np.int64) << 16
+        codes = bits >> (starts & 7) & ((1 << width) - 1)
+        stops = np.flatnonzero((codes == clear) | (codes == end))
+        taken = int(stops[0]) if len(stops) else n
+        if taken:
+            part, table = _unrolled(codes[:taken], least, known)
+            out.append(part)
+            made += len(part)
+            known = table if taken == len(growing) or known is not None else None
+        if len(stops):
+            if codes[taken] == end:
+                break
+            known = None
+        elif n < len(width) or taken < len(growing) and known is None:
+            break
+        at = int(ends[min(taken, n - 1)])
+    return np.concatenate(out)[:size] if out else np.zeros(0, dtype=np.uint8)
 
 
 # ---- writing and reading -------------------------------------------------------------------------------------------
@@ -142,19 +177,30 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(parts)
 
 
+def _interlaced(rows: int) -> np.ndarray:
+    """The order in which the rows of an interlaced image are stored."""
+    return np.array([*range(0, rows, 8), *range(4, rows, 8), *range(2, rows, 4), *range(1, rows, 2)])
+
+
 def encode(payload: bytes) -> bytes:
-    """A looping GIF of grey frames, 64 samples wide and at most 4096 rows high, whose indices are the payload's bytes.
+    """A looping GIF of frames 64 samples wide and at most 64 rows high, whose indices are the payload's bytes.
 
-    The payload's length must be a positive multiple of 64.  Frames replace each other (disposal 2), so none depends on another.
+    The payload's length must be a positive multiple of 64.  Frames take palettes, disposals and interlacing by turns; index 0,
+    which pads texts, is transparent everywhere: what is shown depends on all that, the indices don't.
     """
     if not payload or len(payload) % WIDTH:
         raise ValueError("the payload's length must be a positive multiple of 64")
-    samples = np.frombuffer(payload, dtype=np.uint8)
     step = WIDTH * ROWS
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(ROWS, len(samples) // WIDTH), 0xF7, 0, 0), GREY.tobytes()]
-    for at in range(0, len(samples), step):
-        part = samples[at : at + step]
-        out += [b"\x21\xf9\x04", struct.pack("<BHBB", 2 << 2, DELAY, 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08", _blocks(lzw_literals(part))]
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(ROWS, len(payload) // WIDTH), 0xF7, 0, 0), GREY.tobytes(), b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"]
+    for k, at in enumerate(range(0, len(payload), step)):
+        palette, disposal, interlaced = TURNS[k % len(TURNS)]
+        part = payload[at : at + step]
+        rows = len(part) // WIDTH
+        if interlaced:
+            part = np.frombuffer(part, dtype=np.uint8).reshape(rows, WIDTH)[_interlaced(rows)].tobytes()
+        flags = (0 if palette is None else 0x87) | (0x40 if interlaced else 0)
+        out += [b"\x21\xf9\x04", struct.pack("<BHBB", disposal << 2 | 1, DELAY, CLEAR, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, rows, flags)]
+        out += [b"" if palette is None else palette.tobytes(), b"\x08", _blocks(lzw_encode(part))]
     out.append(b"\x3b")
     return b"".join(out)
 
@@ -182,14 +228,15 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
 def decode(data: bytes) -> Iterator[Frame]:
     """The frames of a GIF, each with its stored indices and the canvas as shown: palettes, interlace, transparency, disposal.
 
-    Only one canvas and one saved canvas are held.  Raises GifError where the stream is cut short or malformed.
+    Only one canvas and one saved canvas are held, as large as frames that have arrived reach, whatever size the header names.
+    Raises GifError where the stream is cut short or malformed, or a frame has more than MOST samples.
     """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("no GIF header")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
     common, at = _palette(data, 13, flags)
     ground = common[background] if common is not None and background < len(common) else np.zeros(3, dtype=np.uint8)
-    canvas = np.broadcast_to(ground, (height, width, 3)).copy()
+    canvas = np.zeros((0, 0, 3), dtype=np.uint8)
     disposal, transparent, delay, clock = 0, None, 0, 0
     while True:
         if at >= len(data):
@@ -215,17 +262,25 @@ def decode(data: bytes) -> Iterator[Frame]:
             raise GifError("a GIF image has no palette")
         least = data[at]
         stream, at = _joined(data, at + 1)
+        if w * h > MOST:
+            raise GifError(f"a frame of {w} x {h} samples")
         got = lzw_decode(stream, least, w * h)
         if len(got) != w * h:
             raise GifError(f"{len(got)} of {w * h} samples")
         indices = got.reshape(h, w)
         if packed & 0x40:
-            order = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
             rows = np.empty_like(indices)
-            rows[order] = indices
+            rows[_interlaced(h)] = indices
             indices = rows
-        saved = canvas.copy() if disposal == 3 else None
         seen = indices[: max(0, height - top), : max(0, width - left)]
+        tall, wide = max(canvas.shape[0], top + seen.shape[0] if seen.size else 0), max(canvas.shape[1], left + seen.shape[1] if seen.size else 0)
+        if (tall, wide) != canvas.shape[:2]:
+            if tall * wide > MOST:
+                raise GifError(f"frames reach {wide} x {tall} samples")
+            larger = np.broadcast_to(ground, (tall, wide, 3)).copy()
+            larger[: canvas.shape[0], : canvas.shape[1]] = canvas
+            canvas = larger
+        saved = canvas.copy() if disposal == 3 else None
         box = canvas[top : top + seen.shape[0], left : left + seen.shape[1]]
         if seen.size and int(seen.max()) >= len(palette):
             raise GifError("a sample beyond the palette")
@@ -246,7 +301,7 @@ def decode(data: bytes) -> Iterator[Frame]:
 def histogram(rgb: np.ndarray) -> np.ndarray:
     """Pixels in each of 64 colours: two bits of red, green and blue."""
     c = rgb.reshape(-1, 3)
-    return np.bincount((c[:, 0] >> 6).astype(np.int16) << 4 | (c[:, 1] >> 6).astype(np.int16) << 2 | c[:, 2] >> 6, minlength=64)
+    return np.bincount((c[:, 0] >> 6) << 4 | (c[:, 1] >> 6) << 2 | c[:, 2] >> 6, minlength=64)
 
 
 # ---- DataFrames ----------------------------------------------------------------------------------------------------
@@ -311,21 +366,22 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
 
 def _digested(key: int, text: str | None) -> Iterator[tuple]:
     for key, n, media in _stored(key, text):
-        whole, tail, size, colours, shown = hashlib.sha256(), b"", 0, np.zeros(64, dtype=np.int64), 0
+        whole, tail, size, colours, shown, until = hashlib.sha256(), b"", 0, np.zeros(64, dtype=np.int64), 0, 0
         for f in decode(media):
             part = f.indices.tobytes()
             whole.update(part)
-            tail, size, shown = (tail + part)[-64:], size + len(part), shown + 1
+            tail, size, shown, until = (tail + part)[-64:], size + len(part), shown + 1, f.start + f.delay
             colours += histogram(f.rgb)
         feature = f"{shown}f:" + ",".join(map(str, colours[[0, 21, 42, 63]].tolist()))
-        yield key, n, size, whole.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature
+        yield key, n, size, whole.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, shown, until * 10, colours.tolist()
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each text as a GIF, decodes the stored bytes again, and returns digests of both and the frames' colour counts.
+    """Stores each text as a GIF, decodes the stored bytes again, and returns digests of both, and of the frames as shown their
+    number, their time and the pixels in each of 64 colours.
 
     A null text counts as empty: 64 zero bytes.  Repeated rows give repeated rows; an empty table an empty result.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-    spark_schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("frames", pa.int32()), ("duration_ms", pa.int64()), ("colours", pa.list_(pa.int64()))])
+    spark_schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames int, duration_ms long, colours array<long>"
     return _mapped(docs, [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")], _digested, schema, spark_schema)
