@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import io
 import struct
 from collections.abc import Iterator
 
@@ -13,15 +14,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm._common import free_name, materialise
+
 #: Magic number of the skippable frame that holds a dictionary, and of a dictionary itself.
 DICTIONARY_FRAME, DICTIONARY = 0x184D2A5D, 0xEC30A437
 #: Pages from which the dictionary of an archive is trained at most, its bytes, and an archive's uncompressed bytes (about).
 SAMPLE, DICTIONARY_BYTES, ARCHIVE_BYTES = 256, 16 << 10, 8 << 20
-#: A record larger than this is refused.
-MOST = 1 << 30
+#: A record larger than this is refused; no value of a Spark column makes one so large.
+MOST = 1 << 32
+#: A block of a Zstandard frame holds so many bytes at most.
+BLOCK = 128 << 10
+#: Groups of equal payloads that are broadcast at most; beyond it the pages are shuffled.
+BROADCAST_GROUPS = 500_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
-_URN = "<urn:page:%d>"
+#: Fixed value: how a page without id is named.
+NO_PAGE = "<urn:page:none>"
 
 
 class WarcError(ValueError):
@@ -32,16 +40,20 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def _urn(page_id: int | None) -> str:
+    return NO_PAGE if page_id is None else f"<urn:page:{page_id}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A response record, or a revisit that keeps the HTTP header (with the payload's length) and no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_URN % page_id}", "WARC-Date: 2020-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id)}", "WARC-Date: 2020-01-01T00:00:00Z"]
     if url:
         head.append("WARC-Target-URI: " + "".join(url.split()))
     head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {_URN % refers_to}"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {_urn(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -61,22 +73,63 @@ def write_archive(records: list[bytes]) -> bytes:
     return struct.pack("<II", DICTIONARY_FRAME, len(trained)) + trained + b"".join([maker.compress(r) for r in records])
 
 
+def frame_size(data: bytes | memoryview, at: int) -> tuple[int, int]:
+    """Compressed bytes of the Zstandard frame that begins at ``at``, and how many bytes it can hold at most, from its block headers."""
+    try:
+        head = zstandard.get_frame_parameters(bytes(data[at : at + 18]))
+        size = at + zstandard.frame_header_size(bytes(data[at : at + 18]))
+    except zstandard.ZstdError as e:
+        raise WarcError(f"no frame header: {e}") from None
+    last, most = False, 0
+    while not last:
+        if size + 3 > len(data):
+            raise WarcError("the archive ends within a frame")
+        block = int.from_bytes(data[size : size + 3], "little")
+        last, kind, length = block & 1, block >> 1 & 3, block >> 3
+        size += 3 + (1 if kind == 1 else length)
+        most += length if kind < 2 else BLOCK
+    size += 4 * head.has_checksum
+    if size > len(data):
+        raise WarcError("the archive ends within a frame")
+    return size - at, most
+
+
+def _decoded(reader: zstandard.ZstdDecompressor, frame: bytes, most: int) -> bytes:
+    """A frame's content, of which no more is held than its blocks can hold."""
+    if most > MOST:
+        with reader.stream_reader(io.BytesIO(frame)) as stream:
+            out = stream.read(MOST + 1)
+        if len(out) > MOST:
+            raise WarcError("a record is too large")
+        return out
+    size = zstandard.frame_content_size(frame)
+    if size > most:
+        raise WarcError("a frame's size isn't that of its blocks")
+    return b"" if size == 0 else reader.decompress(frame, max_output_size=most)
+
+
 def read_frames(data: bytes) -> Iterator[bytes]:
-    """Each record's bytes.  The dictionary may itself be a Zstandard frame, as the format allows; other skippable frames are passed over."""
+    """Each record's bytes.  The dictionary may itself be a Zstandard frame, as the format allows; other skippable frames are passed over.
+
+    Frames are told apart by their block headers, so each byte is read once.
+    """
     at, known = 0, None
-    view = memoryview(data)
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_FRAME:
         size = struct.unpack_from("<I", data, 4)[0]
         if len(data) < 8 + size:
             raise WarcError("the archive ends within its dictionary")
-        body, at = bytes(view[8 : 8 + size]), 8 + size
-        if body[:4] == struct.pack("<I", zstandard.MAGIC_NUMBER):
-            body = zstandard.ZstdDecompressor().decompress(body, max_output_size=MOST)
-        if body:
-            if body[:4] != struct.pack("<I", DICTIONARY):
-                raise WarcError("the leading frame holds no dictionary")
-            known = zstandard.ZstdCompressionDict(body)
+        body, at = data[8 : 8 + size], 8 + size
+        try:
+            if body[:4] == struct.pack("<I", zstandard.MAGIC_NUMBER):
+                body = _decoded(zstandard.ZstdDecompressor(), body, frame_size(body, 0)[1])
+            if body:
+                if body[:4] != struct.pack("<I", DICTIONARY):
+                    raise WarcError("the leading frame holds no dictionary")
+                known = zstandard.ZstdCompressionDict(body)
+        except zstandard.ZstdError as e:
+            raise WarcError(f"the dictionary can't be decoded: {e}") from None
     reader = zstandard.ZstdDecompressor(dict_data=known)
+    view = memoryview(data)
     while at < len(data):
         if len(data) < at + 8:
             raise WarcError("the archive ends within a frame")
@@ -84,16 +137,12 @@ def read_frames(data: bytes) -> Iterator[bytes]:
         if magic & 0xFFFFFFF0 == 0x184D2A50:
             at += 8 + size
             continue
-        one = reader.decompressobj()
+        size, most = frame_size(view, at)
         try:
-            if zstandard.frame_content_size(view[at : at + 18]) > MOST:
-                raise WarcError("a record is too large")
-            out = one.decompress(view[at:])
+            out = _decoded(reader, data[at : at + size], most)
         except zstandard.ZstdError as e:
             raise WarcError(f"a frame can't be decoded: {e}") from None
-        if not one.eof:
-            raise WarcError("the archive ends within a frame")
-        at = len(data) - len(one.unused_data)
+        at += size
         yield out
 
 
@@ -109,7 +158,7 @@ def _headers(raw: bytes) -> tuple[str, dict[str, str]]:
 
 
 def _page(urn: str | None) -> int | None:
-    return int(urn[len("<urn:page:") : -1]) if urn and urn.startswith("<urn:page:") else None
+    return int(urn[len("<urn:page:") : -1]) if urn and urn.startswith("<urn:page:") and urn != NO_PAGE else None
 
 
 def parse(raw: bytes) -> tuple:
@@ -157,7 +206,10 @@ def _archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_archives(pages: DataFrame, refers_to: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """records, archive: archives of about 8 MB of records each.  ``refers_to`` names the column whose page a revisit cites."""
+    """records, archive: archives of about 8 MB of records each.  ``refers_to`` names the column whose page a revisit cites.
+
+    A null html is an empty payload, a null url leaves its header out, a null id is read back as null.
+    """
     target = F.col(refers_to).cast("long") if refers_to else F.lit(None).cast("long")
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), target.alias("target")).mapInArrow(_archived, "records int, archive binary")
 
@@ -193,9 +245,15 @@ def read_archives(archives: DataFrame, archive_col: str = "archive", payloads: b
 def with_responses(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Adds ``response_id``: the largest id with an equal payload, where that isn't the row's own and the payload has ``least_bytes``.
 
-    Only digests, ids and lengths are shuffled; a large group of equal payloads is summed up before and joins one row.
+    Digests, ids and lengths are summed up to a row for each payload that occurs twice.  Up to BROADCAST_GROUPS of these are sent
+    to the pages; beyond, pages are shuffled by digest, where large groups of equal payloads can be split.  Null html is empty;
+    rows with null ids refer to the largest id, if any has one; of rows with the largest id none refers to another.
     """
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    keyed = pages.withColumn("_sha", F.unhex(F.sha1(payload.cast("binary"))))
-    best = pages.select(F.unhex(F.sha1(payload.cast("binary"))).alias("_sha"), F.octet_length(payload).alias("_bytes"), F.col(id_col).alias("_id")).filter(F.col("_bytes") >= least_bytes).groupBy("_sha").agg(F.max("_id").alias("_best"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    return keyed.join(best, "_sha", "left").withColumn("response_id", F.when(F.col("_best") != F.col(id_col), F.col("_best"))).drop("_sha", "_best")
+    sha, best_id = free_name(pages, "_sha"), free_name(pages, "_best")
+    digests = pages.select(F.unhex(F.sha1(payload.cast("binary"))).alias(sha), F.octet_length(payload).alias("bytes"), F.col(id_col).alias("id")).filter(F.col("bytes") >= least_bytes)
+    best = digests.groupBy(sha).agg(F.max("id").alias(best_id), F.count("*").alias("n")).filter(f"n > 1 AND {best_id} IS NOT NULL").drop("n")
+    best = materialise(best, "payloads")
+    keyed = pages.withColumn(sha, F.unhex(F.sha1(payload.cast("binary"))))
+    joined = keyed.join(F.broadcast(best) if best.count() <= BROADCAST_GROUPS else best, sha, "left")
+    return joined.withColumn("response_id", F.when(~F.col(best_id).eqNullSafe(F.col(id_col)), F.col(best_id))).drop(sha, best_id)
