@@ -20,6 +20,8 @@ SAMPLE, TREES, LEAF = 20_000, 12, 64
 REACH = 3.4
 #: Neighbouring leaves that meet their queries together; rows, and queries, that such a group holds at once.
 NEIGHBOURS, BLOCK = 16, 40_000
+#: Queries with too few answers that are sent to all rows at once.
+EXACT = 2_000
 
 
 @dataclass
@@ -39,8 +41,9 @@ class Forest:
     rows: int
 
     def _lifted(self, x: np.ndarray) -> np.ndarray:
-        """Vectors on a sphere: one more coordinate makes the largest inner product the smallest angle."""
-        rest = np.sqrt(np.maximum(0.0, self.longest**2 - np.einsum("ij,ij->i", x, x)))
+        """Vectors on the unit sphere: one more coordinate makes the largest inner product the smallest angle."""
+        x = x / self.longest
+        rest = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", x, x)))
         return np.column_stack([x, rest])
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
@@ -62,8 +65,8 @@ class Forest:
         A branch waits with the sum of squares of how far the query lies beyond the cuts that lead there, which, directions being
         nearly at right angles, is about the least squared distance to anything in it.
         """
-        norm = np.linalg.norm(q)
-        lifted = np.append(q * (self.longest / norm), 0.0)
+        q = q / np.abs(q).max()
+        lifted = np.append(q / np.linalg.norm(q), 0.0)
         margins = [tree.directions @ lifted - tree.cuts if len(tree.cuts) else np.zeros(0) for tree in self.trees]
         queue = [(0.0, t, 0 if len(tree.cuts) else -1) for t, tree in enumerate(self.trees)]
         out, seen, goal = [], 0, share * self.rows * len(self.trees) ** 0.5
@@ -82,7 +85,8 @@ class Forest:
 
 def grow(x: np.ndarray, trees: int, leaf: int, seed: int = 17) -> Forest:
     """Each node cuts its rows at the median of their projection on the difference of two of them plus noise."""
-    longest = float(np.sqrt(np.einsum("ij,ij->i", x, x).max())) if len(x) else 1.0
+    most = np.abs(x).max() if len(x) else 1.0  # squares of the largest doubles would be infinite
+    longest = float(most * np.sqrt(np.einsum("ij,ij->i", x / most, x / most).max())) if len(x) else 1.0
     forest = Forest([], longest, len(x))
     lifted = forest._lifted(x) if len(x) else x
     for t in range(trees):
@@ -120,9 +124,13 @@ def grow(x: np.ndarray, trees: int, leaf: int, seed: int = 17) -> Forest:
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, v of the rows that take part: no null, no component null or not finite, not all zero, of the commonest length."""
-    v = F.col(vector_col)
-    x = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<float>").alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
+    """vec_id, v of the rows that take part: no null, no component null or not finite, not all zero, of the commonest length.
+
+    Components stay as they are, floats or doubles; other numbers become doubles.
+    """
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    v = F.col(vector_col).cast(f"array<{kind if kind == 'float' else 'double'}>")
+    x = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     x = x.filter(finite & F.exists("v", lambda e: e != 0))
     common = x.groupBy(F.size("v").alias("_d")).count().orderBy(F.desc("count"), "_d").limit(1).select("_d")
@@ -136,8 +144,9 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _list(values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.astype(np.float32).ravel()))
+def _list(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Vectors as they came: what was read as floats is one again, without loss."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel()).cast(kind))
 
 
 def _placed(forest, salts: int, copies: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +159,7 @@ def _placed(forest, salts: int, copies: int, batches: Iterator[pa.RecordBatch])
             n, trees = leaf.shape
             for c in range(copies):
                 for t in range(trees):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(leaf[:, t]), pa.array((ids % salts).astype(np.int32)), pa.array(np.full(n, c, np.int32)), pa.array(ids), _list(x)], names=["tree", "leaf", "salt", "side", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(leaf[:, t]), pa.array((ids % salts).astype(np.int32)), pa.array(np.full(n, c, np.int32)), pa.array(ids), _list(x, part.column(1).type.value_type)], names=["tree", "leaf", "salt", "side", "id", "v"])
 
 
 def _asked(forest, share: float, salts: int, copies: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +170,7 @@ def _asked(forest, share: float, salts: int, copies: int, batches: Iterator[pa.R
             x, ids = _matrix(part.column(1)), part.column(0).to_numpy()
             found = [(t, leaf, s, k) for k, q in enumerate(x) for t, leaf in forest.value.probes(q, share) for s in range(salts)]
             tree, leaf, salt, k = np.array(found, dtype=np.int64).reshape(-1, 4).T
-            yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(leaf.astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array((ids[k] // 20 % copies).astype(np.int32)), pa.array(ids[k]), _list(x[k])], names=["tree", "leaf", "salt", "side", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(leaf.astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array((ids[k] // 20 % copies).astype(np.int32)), pa.array(ids[k]), _list(x[k], part.column(1).type.value_type)], names=["tree", "leaf", "salt", "side", "id", "v"])
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -208,23 +217,65 @@ def _ranked(rows: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     return pa.table(list(best(held)), schema=_BEST) if held else _BEST.empty_table()
 
 
+def _exact(shared, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The k best of a few queries among the rows of a partition."""
+    ids, q = shared.value
+    best: list[np.ndarray] = [np.zeros((0, 2))] * len(ids)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            names, score = part.column(0).to_numpy(), products(q, _matrix(part.column(1)))
+            for i in range(len(ids)):
+                mine = np.flatnonzero(names != ids[i])
+                every = [*best[i], *zip((-score[i, mine]).tolist(), names[mine].tolist(), strict=True)]
+                best[i] = heapq.nsmallest(k, map(tuple, every))
+    rows = [(int(i), int(r), -s) for i, found in zip(ids, best, strict=True) for s, r in found]
+    columns = list(zip(*rows, strict=True)) or [[]] * 3
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BEST, strict=True)], schema=_BEST)
+
+
+def _topped_up(found: DataFrame, rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """found, with all rows searched for those queries that have fewer answers than there are: k, or all other ids."""
+    found, asked = materialise(found, "found"), materialise(asked, "asked")
+    number = rows.select("vec_id").distinct().limit(k + 1).count()  # of candidates, as far as it matters
+    most = min(k, max(0, number - 1))
+    short = asked.join(found.groupBy("query_id").count(), F.col("id") == F.col("query_id"), "left").filter(F.coalesce("count", F.lit(0)) < most).select("id", "v")
+    short = materialise(short, "short")
+    count = short.count()
+    if not count:
+        return found
+    parts, blocks = [found.join(short, F.col("query_id") == F.col("id"), "left_anti")], -(-count // EXACT)
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    for b in range(blocks):
+        these = short.filter(block == b).collect()  # about EXACT of them
+        shared = rows.sparkSession.sparkContext.broadcast((np.array([r.id for r in these], dtype=np.int64), np.array([r.v for r in these], dtype=np.float64)))
+        near = rows.dropDuplicates(["vec_id", "v"]).mapInArrow(functools.partial(_exact, shared, k), "query_id long, rep long, score double")
+        last = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
+        parts.append(near.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("rep").alias("vec_id"), "score"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, reach: float = REACH, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: each query's nearest rows by inner product, its own row left out.
+    """query_id, rank, vec_id, score: each query's nearest rows by inner product, rows of its own id left out.
 
     Equal vectors stand together behind one representative with the k + 1 smallest ids, more than which no answer can hold.
     The forest is fitted on ``sample`` distinct vectors at most (those with the smallest hash) and sent to all executors: its
     size is bounded by the sample.  Every distinct vector is then put into its leaf of every tree.  A query's leaves come
     from one queue over all trees.  Leaves, numbered as they lie in the tree, meet their queries in groups of NEIGHBOURS, and
-    these in blocks of BLOCK.
+    these in blocks of BLOCK.  A query whose leaves hold fewer than k others is held against all rows, in blocks of EXACT
+    queries, so that none has fewer answers than there are.
+
+    Scores are in double precision, of the vectors as they are.  Of several query rows with one id the first by vector counts;
+    candidate rows with equal ids and different vectors are candidates each.
     """
     rows = valid(vectors, id_col, vector_col)
     first = Window.partitionBy("v").orderBy("vec_id")
     kept = rows.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= k + 1)
     reps = materialise(kept.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("id"), "v", "ids"), "vectors")
-    asked = valid(queries, id_col, vector_col).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("id"), "v")
+    asked = valid(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")).select(F.col("vec_id").alias("id"), "v")
     number = reps.count()
-    chosen = reps.orderBy(F.xxhash64("v"), "id").limit(sample).select("v").collect()
-    x = np.array([r.v for r in chosen], dtype=np.float64)
+    chosen = reps.orderBy(F.xxhash64("v"), "id").limit(sample).select("v").toArrow()
+    x = _matrix(chosen["v"]) if number else np.zeros((0, 0))
     forest = grow(x, trees, max(4, leaf * len(x) // max(1, number)))
     share = reach * max(1, number) ** -0.3
     groups = max(1, sum(len(t.sizes) for t in forest.trees) // NEIGHBOURS)
@@ -232,9 +283,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, reach: float = R
     salts = -(-max(1, number * trees // groups) // BLOCK)
     asks = asked.count() * max(trees, int(share * number * trees**0.5 / leaf)) // groups
     copies = -(-max(1, asks) // BLOCK)
-    schema = "tree int, leaf int, salt int, side int, id long, v array<float>"
+    kind = reps.schema["v"].dataType.simpleString()
+    schema = f"tree int, leaf int, salt int, side int, id long, v {kind}"
     placed = reps.select("id", "v").mapInArrow(functools.partial(_placed, shared, salts, copies), schema)
-    probes = asked.mapInArrow(functools.partial(_asked, shared, share, salts, copies), schema)
+    probes = asked.select("id", F.col("v").cast(kind).alias("v")).mapInArrow(functools.partial(_asked, shared, share, salts, copies), schema)
     key = [F.col("tree"), F.floor(F.col("leaf") / NEIGHBOURS).alias("near"), F.col("salt"), F.col("side")]
 
     def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -246,4 +298,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, reach: float = R
     best = once.withColumn("_k", F.row_number().over(near)).filter(F.col("_k") <= k + 1)
     every = best.join(reps.select(F.col("id").alias("rep"), "ids"), "rep").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return every.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranks = every.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _topped_up(ranks, rows, asked, k)
