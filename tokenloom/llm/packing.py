@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm._common import materialise
+from tokenloom.llm._common import materialise, parts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Distinct pre-tokens that a Python worker remembers before it starts anew.
-MEMORY = 900_000
+#: Bytes of words and ids, with some 200 for each word, that a Python worker remembers before it starts anew.
+MEMORY = 96 << 20
 #: Pieces that one packing task holds at most on average.
 TASK_PIECES = 20_000
 
@@ -39,10 +39,12 @@ class WordEncoder:
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
+        #: Fixed value: the vocabulary's own pattern.
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.odd = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "İ", "Σ", "ς", "<|startoftext|>", "<|endoftext|>")
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def split(self, word: str) -> list[str]:
         """A word's pre-tokens; the pattern is only needed where more than a last full stop or comma isn't a letter."""
@@ -60,11 +62,16 @@ class WordEncoder:
         get = self.pieces.__getitem__
         for w, ps in zip(missing, split, strict=True):
             self.words[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+            self.held += 200 + 6 * len(w)
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.pieces.clear()
+        self.held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > MEMORY:
-            self.words.clear()
-            self.pieces.clear()
+        if self.held > MEMORY:
+            self.forget()
         words = [None if any(x in t for x in self.odd) else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for t in texts]
         if missing := [w for w in set().union(*[w for w in words if w is not None]) if w not in self.words]:
             self.learn(missing)
@@ -83,15 +90,14 @@ def _encoder(path: str) -> WordEncoder:
 def _cut(name: str, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(_vocabulary(name))
     for batch in batches:
-        docs, texts = batch.column(0).to_pylist(), batch.column(1)
         out: list[tuple] = []
-        for at in range(0, len(docs), 256):
-            part = [t or "" for t in texts.slice(at, 256).to_pylist()]
-            for doc, ids in zip(docs[at : at + 256], encoder.encode(part), strict=True):
+        for part in parts(batch, rows=256, size=1 << 20):
+            for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                 ids += b"\0\0\0\0"
                 out += [(doc, k, k * limit, len(x := ids[s : s + 4 * limit]) // 4, zlib.crc32(x)) for k, s in enumerate(range(0, len(ids), 4 * limit))]
         columns = list(zip(*out, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+    encoder.forget()  # the worker may live on
 
 
 def _vocabulary(name: str) -> str:
@@ -160,7 +166,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 def _pack(group: pa.Table, capacity: int) -> pa.Table:
     """Packs a group; each row also gets its bin, that bin's fill, and the group's bins and bound."""
-    order = np.lexsort((group["piece"].to_numpy(), group["doc_id"].to_numpy()))  # reruns agree whatever order rows come in
+    order = np.lexsort([group[c].fill_null(-1).to_numpy() for c in ("ids_crc32", "length", "piece", "doc_id")])  # reruns agree whatever order rows come in
     group = group.take(pa.array(order))
     lengths = group["length"].to_numpy()
     bins, offsets = best_fit_decreasing(lengths, capacity)
@@ -172,12 +178,13 @@ def _pack(group: pa.Table, capacity: int) -> pa.Table:
 
 
 def _pack_by(pieces: DataFrame, groups: int, capacity: int, salt: int) -> DataFrame:
-    keyed = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(groups)).cast("int"))
+    """Pieces dealt at random: a hash of their number, so that rows of one document, repeated or without id, don't meet in one group."""
+    keyed = pieces.withColumn("part", F.pmod(F.xxhash64("number", F.lit(salt)), F.lit(groups)).cast("int"))
 
     def packed(group: pa.Table) -> pa.Table:
         return _pack(group, capacity)
 
-    return keyed.groupBy("part").applyInArrow(packed, PIECES + ", part int, bin long, offset long, fill long, bins long, bound long")
+    return keyed.groupBy("part").applyInArrow(packed, PIECES + ", number long, part int, bin long, offset long, fill long, bins long, bound long")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, rounds: int | None = None, task_pieces: int = TASK_PIECES) -> DataFrame:
@@ -190,10 +197,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, rounds: int | None = None, tas
     is left or an exchange no longer lowers the number of bins (what was before it then stays), at most ``rounds`` times if
     given; a warning tells how many groups remain above their bound.  An empty table gives an empty result.
     """
-    small = materialise(pieces, "pieces")
+    small = materialise(pieces.withColumn("number", F.monotonically_increasing_id()), "pieces")  # written, so numbers stay as they are
     full = small.filter(F.col("length") == capacity)
     rest = small.filter(F.col("length") < capacity)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "number"]
     groups, base, turn, kept, before, above, done = max(1, -(-rest.count() // task_pieces)), 0, 0, None, 0, (0, 0), []
     is_open = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
     while True:
@@ -214,10 +221,14 @@ def pack(pieces: DataFrame, capacity: int = 2048, rounds: int | None = None, tas
         base, turn, groups = base + groups, turn + 1, max(1, -(-state.pieces // task_pieces))
     if above[0]:
         logging.getLogger(__name__).warning("%d groups remain above their bound, by %d sequences in all", *above)
-    out = functools.reduce(DataFrame.unionByName, (d.select(*names, "sequence_id", "offset") for d in done))
-    alone = full.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out = functools.reduce(DataFrame.unionByName, (d.select(*names[:-1], "sequence_id", "offset") for d in done))
+    alone = full.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return out.unionByName(alone)
 
 
 def packed_documents(docs: DataFrame, limit: int = 2048, vocabulary: str = "word_bpe_49k.json", **columns: str) -> DataFrame:
+    """The pieces of all texts in sequences of at most ``limit`` tokens.
+
+    A null text counts as empty: one token.  Rows with equal ids are packed each on its own; null ids stay null.
+    """
     return pack(token_pieces(docs, limit, vocabulary, **columns), limit)
