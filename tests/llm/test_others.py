@@ -75,9 +75,70 @@ def test_lzw(least):
     for n in (0, 1, 5, 300, 20000):
         samples = (rng.integers(0, 1 << least, n) // rng.integers(1, 3)).astype(np.uint8)
         assert (gif.lzw_decode(lzw_encode(samples.tobytes(), least), least, n) == samples).all()
-        if least == 8:
-            assert (gif.lzw_decode(gif.lzw_literals(samples), 8, n) == samples).all()
-            assert (gif._lzw_general(gif.lzw_literals(samples), 8, n) == samples).all()
+        if n:
+            assert (gif.lzw_decode(gif.lzw_encode(samples.tobytes(), least), least, n) == samples).all()
+
+
+def plain_codes(data, least):
+    """The codes of a stream, one after the other, and how many stand for more than a sample."""
+    clear, width, table, at, bits = 1 << least, least + 1, 0, 0, int.from_bytes(data, "little")
+    codes = []
+    while True:
+        code = bits >> at & ((1 << width) - 1)
+        at += width
+        codes.append(code)
+        if code == clear + 1:
+            return codes
+        if code == clear:
+            width, table = least + 1, -1
+        else:
+            table += 1
+            if clear + 2 + table >= 1 << width and width < 12:
+                width += 1
+
+
+def test_streams_have_entries_of_the_table():
+    text = b"the quick brown fox jumps over the lazy dog and the quick brown cat " * 300
+    codes = plain_codes(gif.lzw_encode(text), 8)
+    assert sum(c > 257 for c in codes) > 0.8 * len(codes) and len(codes) < len(text) // 8
+    noise = np.random.default_rng(1).integers(0, 256, 30_000).astype(np.uint8).tobytes()
+    assert plain_codes(gif.lzw_encode(noise), 8).count(256) > 5 and gif.lzw_decode(gif.lzw_encode(noise), 8, len(noise)).tobytes() == noise
+
+
+def test_a_full_table_may_stay():
+    """Some writers send no clear code when the table is full."""
+    noise = np.random.default_rng(2).integers(0, 4, 60_000).astype(np.uint8).tobytes()
+    table, codes, word = {bytes([i]): i for i in range(4)}, [4], b""
+    for s in noise:
+        if word + bytes([s]) in table:
+            word += bytes([s])
+            continue
+        codes.append(table[word])
+        if len(table) + 2 < 4096:
+            table[word + bytes([s])] = len(table) + 2
+        word = bytes([s])
+    codes += [table[word], 5]
+    held = at = 0
+    for k, c in enumerate(codes):
+        width = 3 if k == 0 else int(gif._widths(2)[min(k - 1, len(gif._widths(2)) - 1)])
+        held |= c << at
+        at += width
+    assert gif.lzw_decode(held.to_bytes(at // 8 + 1, "little"), 2, len(noise)).tobytes() == noise
+
+
+def test_a_header_alone_costs_nothing():
+    assert list(gif.decode(b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b";")) == []
+    big = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x80, 0, 0) + bytes(6) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02\x01\x4c\0;"
+    with pytest.raises(gif.GifError):
+        list(gif.decode(big))
+
+
+def test_stored_texts_use_palettes_transparency_and_disposal():
+    payload = bytes(range(256)) * 80
+    shown = list(gif.decode(gif.encode(payload)))
+    assert b"".join(f.indices.tobytes() for f in shown) == payload and len(shown) == 5
+    assert [f.disposal for f in shown] == [1, 2, 3, 2, 1] and {f.transparent for f in shown} == {0}
+    assert shown[0].rgb[0, 9].tolist() == [9, 9, 9] and shown[1].rgb[0, 9].tolist() == gif.WARM[9].tolist() and shown[3].rgb[0, 9].tolist() == gif.COOL[9].tolist()
 
 
 def test_frames_with_palettes_disposal_transparency_and_interlace():
@@ -108,7 +169,7 @@ def test_media_round_trip(spark):
         padded = raw + bytes(-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
     shown = gif.frames(gif.store_texts(df)).filter("doc_id = 6").orderBy("frame").collect()
-    assert [f.start_ms for f in shown] == [0, 100] and b"".join(f.indices for f in shown).rstrip(b"\0") == long.encode() and sum(shown[0].colours) == gif.WIDTH * gif.ROWS
+    assert [f.start_ms for f in shown] == [0, 100] and [r.frames for r in gif.round_trip(df).filter("doc_id = 6").collect()] == [2] and b"".join(f.indices for f in shown).rstrip(b"\0") == long.encode() and sum(shown[0].colours) == gif.WIDTH * gif.ROWS
     broken = spark.createDataFrame([(1, None), (2, bytearray(b"GIF"))], "doc_id long, media binary")
     assert all(r.error for r in gif.frames(broken).collect())
 
@@ -133,6 +194,30 @@ def test_archives(spark):
     assert len({r.refers_to for r in warc.with_responses(pages, 1).selectExpr("response_id AS refers_to").collect()}) == 2
 
 
+def test_archives_without_ids_with_clashing_columns(spark):
+    rows = [(None, None, "a", 1, 2), (3, None, "a", 1, 2), (3, None, "a", 1, 2), (None, None, None, 1, 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _sha int, _best int")
+    linked = warc.with_responses(pages)
+    assert linked.columns == [*pages.columns, "response_id"] and {(r._sha, r._best) for r in linked.collect()} == {(1, 2)}
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.error) for r in warc.read_archives(warc.write_archives(linked, "response_id")).collect())
+    assert got == [(0, "response", 0, None), (0, "revisit", 3, None), (3, "response", 0, None), (3, "response", 0, None)]
+
+
+def test_archives_are_read_in_linear_time():
+    import time
+
+    noise = np.random.default_rng(3).integers(0, 256, 1 << 20).astype(np.uint8).tobytes()
+
+    def took(n):
+        data = b"".join(warc.write_archive([warc.record(i, None, noise[i % 1000 : i % 1000 + 16384], None)])[8:] for i in range(n))
+        began = time.process_time()
+        assert sum(1 for _ in warc.read_frames(data)) == n
+        return time.process_time() - began
+
+    took(100)
+    assert took(4096) < 3 * 8 * max(0.01, took(512))
+
+
 def test_archive_faults():
     records = [warc.record(i, None, b"payload %d " % i * 50, None) for i in range(20)]
     data = warc.write_archive(records)
@@ -141,6 +226,8 @@ def test_archive_faults():
         list(warc.read_frames(data[:-3]))
     with pytest.raises(warc.WarcError):
         list(warc.read_frames(data[:100]))
+    with pytest.raises(warc.WarcError):
+        list(warc.read_frames(data[:-40] + b"\0" * 40))
     for bad in (records[0][:-1], records[0].replace(b"WARC/1.1", b"HTTP/1.1"), records[0].replace(b"payload 0", b"payload X", 1), records[0].replace(b"WARC-Type", b"X-Type")):
         with pytest.raises(warc.WarcError):
             warc.parse(bad)
@@ -179,9 +266,26 @@ def test_mixing(spark):
         assert (r.position is None) == (r.taken == 0) and (r.position is None or 0 <= r.position <= 1)
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    lines = defaultdict(list)
+    for r in got:
+        lines[r.source].append(r)
+    schedules = (mixing.RISING, mixing.FALLING)
+    for rank, source in enumerate(sorted(lines, key=lambda s: (s is None, (s or "").encode()))):
+        (t0, w0), (t1, w1) = schedules[rank % 2]
+        walk, at, own = round(want[source]), 0, {}
+        for r in sorted(lines[source], key=lambda r: (r.key, r.doc_id)):
+            places = [at + p * sizes[source] for p in range(2) if at + p * sizes[source] < walk] if r.taken else []
+            assert len(r.positions) == len(places)
+            for x, place in zip(r.positions, places, strict=True):
+                demanded = (w0 * x + (w1 - w0) * x * x / 2) / ((w0 + w1) / 2)
+                assert demanded == pytest.approx(place / walk, abs=1e-9)
+            at += r.size
     key = lambda x: (x.doc_id, x.taken)
     assert sorted(map(key, got)) == sorted(map(key, mixing.mix(df.repartition(7)).collect()))
-    again = mixing.resample(df)
+    again = mixing.resample(df.withColumns({"_position": F.lit(1), "row": F.lit(2), "positions": F.lit(3)})).drop("_position", "row", "positions")
+    order = [r.doc_id for r in mixing.resample(spark.range(300).selectExpr("id AS doc_id", "repeat('w ', 10) AS text", "'one' AS source").coalesce(1)).collect()]
+    twice = [x for x in set(order) if order.count(x) == 2]
+    assert len(twice) == 150 and all(order[::-1].index(x) + order.index(x) < len(order) - 50 for x in twice)
     assert again.columns == df.columns and again.filter("source = 'tiny'").count() in (2, 3, 4)
     assert abs(again.select(F.sum(mixing.word_count(F.col("text")))).first()[0] - sum(want.values())) < 0.1 * sum(want.values())
 
@@ -424,14 +528,123 @@ def test_languages_without_spaces_are_read_to_the_end(spark):
 
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
-    model = langid.Model(["a", "b", "c"], {}, np.zeros(3), {}, penalty=1.5)
+    model = langid.Model(["a", "b", "c"], {}, np.zeros((1, 3)), {}, penalty=1.5)
     words = [f"w{i}".encode() for i in range(8)]
     model.known = {w: i for i, w in enumerate(words)}
-    model.rows = list(np.column_stack([rng.normal(size=(8, 3)), np.ones(8)]).astype(np.float32))
-    docs = [[words[i] for i in rng.integers(0, 8, n)] for n in (1, 3, 6, 0, 6)]
+    model.matrix = np.column_stack([rng.normal(size=(8, 3)), np.ones(8)]).astype(np.float32)
+    docs = [[words[i] for i in rng.integers(0, 8, n)] for n in (1, 3, 6, 0, 6, *rng.integers(1, 7, 60))]
     import itertools
 
     for doc, path in zip(docs, model.label(docs, cells=9), strict=True):
-        worth = lambda p: sum(model.rows[model.known[w]][k] for w, k in zip(doc, p, strict=True)) - 1.5 * sum(a != b for a, b in itertools.pairwise(p))
+        worth = lambda p: sum(model.matrix[model.known[w]][k] for w, k in zip(doc, p, strict=True)) - 1.5 * sum(a != b for a, b in itertools.pairwise(p))
         if doc:
             assert worth(path.tolist()) == pytest.approx(max(map(worth, itertools.product(range(3), repeat=len(doc)))), abs=1e-4)
+
+
+def test_many_languages():
+    langs = [f"l{i:03d}" for i in range(200)]
+    texts = [f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 30 for i in range(200)]
+    model = langid.fit(texts, langs, penalty=1.0)
+    assert [x for x, _ in model.predict(texts)] == langs
+    assert [x for *_, x in model.spans(texts[3] + texts[150])] == ["l003", "l150"]
+
+
+def test_models_without_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a text", None, 1, 2)], "doc_id long, text string, lang string, score int, spans int")
+    model = langid.train(docs)
+    assert model.langs == [] and [(r.lang_pred, r.score, r.spans) for r in langid.predict(docs, model).collect()] == [("und", 0.0, [])]
+    labels = spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id long, toxic int")
+    for known in (labels, labels.limit(0)):
+        fitted = toxicity.train(docs, known)
+        assert toxicity.score(docs, fitted).first().score < 0.01 and toxicity.with_score(docs, fitted).columns == [*docs.columns, "toxicity"]
+
+
+def test_samples_have_bounds(spark):
+    rows = [(i, "word " * 200, "ab"[i % 2]) for i in range(300)] * 3 + [(7, "other", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    real, langid.fit = langid.fit, lambda texts, langs, penalty: seen.append((texts, langs)) or real(texts, langs, penalty)
+    try:
+        langid.train(docs, sample=20)
+        langid.train(docs, sample=20, sample_bytes=4000)
+    finally:
+        langid.fit = real
+    assert [len(t) for t, _ in seen] == [40, 4] and sorted(set(seen[0][1])) == ["a", "b"]
+
+
+def test_noisy_or_is_brute_force():
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    model = toxicity.NoisyOr({w.encode(): rng.uniform(-1, 3) for w in words[:20]}, -3.0)
+    for _ in range(50):
+        split = [[rng.choice(words) for _ in range(rng.randrange(0, 8))] for _ in range(rng.randrange(1, 9))]
+        text, clean, own = ". ".join(" ".join(s) for s in split), 1.0, []
+        text = text.replace("w", "w").translate({i: 0x61 + i - 48 for i in range(48, 58)})
+        model = toxicity.NoisyOr({w.translate({i: 0x61 + i - 48 for i in range(48, 58)}).encode(): x for w, x in zip(words, [rng.uniform(-1, 3) for _ in range(20)], strict=False)}, -3.0)
+        for s in text.split(". "):
+            if s.split():
+                p = 1 / (1 + np.exp(-(-3.0 + sum(model.weights.get(w.encode(), 0.0) for w in set(s.split())))))
+                own.append(p)
+                clean *= 1 - p
+        score, worst, start, length, top = model.bag(text)
+        assert score == pytest.approx(1 - clean if own else 0.0)
+        if own:
+            assert top == pytest.approx(max(own)) and text[start : start + length].strip() == text.split(". ")[worst].strip()
+
+
+def test_very_long_texts(spark):
+    long = "der das ist nicht und auf sch\u00f6n. " * 40_000
+    df = spark.createDataFrame([(1, long), (2, "x" * 3_000_000)], DOCS)
+    model = langid.fit(["der das ist nicht und auf sch\u00f6n", "the house of this that with"], ["de", "en"])
+    assert langid.predict(df, model).filter("doc_id = 1").first().lang_pred == "de"
+    tox = toxicity.fit(["such blorg", "fine day"] * 9, [1, 0] * 9)
+    assert all(0 <= r.score <= 1 for r in toxicity.score(df, tox).collect())
+    assert licenses.scan(df.withColumn("text", F.concat("text", F.lit(" Released under the MIT License.")))).count() == 2
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"))
+    assert [r.error for r in warc.read_archives(warc.write_archives(pages)).collect()] == [None, None]
+
+
+def test_ties_of_mixing(spark):
+    rows = [(1, "a b c", "s")] * 6 + [(2, "d", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == 7 and sum(r.taken for r in got) == 29 and sorted(map(len, (r.positions for r in got))) == sorted(map(len, (r.positions for r in mixing.mix(df.repartition(4)).collect())))
+
+
+def test_exact_scores_and_enough_answers(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 6)) * np.pi
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, [1e-300] * 6), (401, [1e200] * 6)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(t, t.filter("vec_id % 20 = 0"), k=5).collect():
+        got[r.query_id].append(r)
+    assert len(got) == 21 and all(len(v) == 5 for v in got.values())
+    for q, found in got.items():
+        for r in found:
+            score = 0.0
+            for a, b in zip(rows[q][1], rows[r.vec_id][1], strict=True):
+                score += a * b
+            assert r.score == score
+    few = ann.search(t, t.filter("vec_id % 20 = 0"), k=390, reach=0.01, trees=1, leaf=4)
+    assert {r["count"] for r in few.groupBy("query_id").count().collect()} == {390}
+    best = sorted(((float(x[0] @ x[i]), i) for i in range(1, 400)), reverse=True)[:3]
+    assert best[0][1] in {r.vec_id for r in few.filter("query_id = 0 AND rank <= 3").collect()}
+
+
+@pytest.mark.parametrize("rows", [3_000, 30_000])
+def test_search_recall_by_size(spark, rows):
+    rng = np.random.default_rng(rows)
+    centres = rng.normal(size=(rows // 50, 24))
+    x = (centres[rng.integers(0, len(centres), rows)] + 0.6 * rng.normal(size=(rows, 24))).astype(np.float32)
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    asked = list(range(0, rows, rows // 100))
+    found = defaultdict(set)
+    for r in ann.search(t, t.filter(F.col("vec_id").isin(asked))).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in asked:
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hits += len(found[q] & {*np.argsort(-s)[:20].tolist()})
+    assert hits >= 0.9 * 20 * len(asked)

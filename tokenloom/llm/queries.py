@@ -12,7 +12,7 @@ from tokenloom.llm._common import fold_column, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "chunks", "kept_doc_id")
+    return substring.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "chunks", "kept_doc_id", "kept_doc_ids")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,13 +26,14 @@ def op3_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, keep=lambda key: fold_column(key, 3) != 1)
-    return toxicity.score(docs, model).select("doc_id", (fold_column(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold_column(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "worst_sentence", "worst_start", "worst_length", "worst_score")
 
 
 def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, keep=lambda key: fold_column(key, 5) != 0)
-    return langid.predict(docs, model).select("doc_id", (fold_column(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model).select("doc_id", (fold_column(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm._common import materialise, utf8
+from tokenloom.llm._common import free_name, materialise, parts, release, utf8
 
 #: A cut lies where the gear hash is the largest of so many bytes on either side: chunks of 16 bytes at least, 33 on average.
 REACH = 16
@@ -95,16 +95,16 @@ def chunk(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-        for lo in range(0, batch.num_rows, 500):
-            texts = [utf8(t) for t in batch.column(1).slice(lo, 500).to_pylist()]
+        for part in parts(batch):
+            ids, marks = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
+            texts = [utf8(t) for t in part.column(1).to_pylist()]
             counts, starts, lengths, n_words, first = [], [], [], [], []
             digests: list[int] = []
             for k, bounds in chunk(texts):
                 text, edges = texts[k], bounds.tolist()
-                parts = [text[x:y] for x, y in zip(edges, edges[1:], strict=False)]
-                own = [digest(x) for x in parts]
-                n_words += [len(x.split()) for x in parts]
+                pieces = [text[x:y] for x, y in zip(edges, edges[1:], strict=False)]
+                own = [digest(x) for x in pieces]
+                n_words += [len(x.split()) for x in pieces]
                 seen: set[int] = set()
                 first += [not (d in seen or seen.add(d)) for d in own] if len(set(own)) < len(own) else [True] * len(own)
                 digests += own
@@ -113,7 +113,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lengths.append(np.diff(bounds))
             if digests:
                 n = np.array(counts)
-                columns = np.repeat(ids[lo : lo + 500], n), np.repeat(marks[lo : lo + 500], n), np.concatenate(starts).astype(np.int64), np.concatenate(lengths).astype(np.int32), np.array(n_words, dtype=np.int32), np.array(first), np.array(digests, dtype=np.uint64).view(np.int64)
+                columns = np.repeat(ids, n), np.repeat(marks, n), np.concatenate(starts).astype(np.int64), np.concatenate(lengths).astype(np.int32), np.array(n_words, dtype=np.int32), np.array(first), np.array(digests, dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "mark", "start", "length", "words", "first", "digest"])
 
 
@@ -127,7 +127,8 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, within: bool = False, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """Spans to remove: doc_id, mark, start, length (UTF-8 bytes), chunks, kept_doc_id (where the span's first chunk stays).
+    """Spans to remove: doc_id, mark, start, length (UTF-8 bytes), chunks, kept_doc_id (where the span's first chunk stays) and
+    kept_doc_ids (where any of its chunks does, sorted).
 
     A chunk stays in the document with the smallest id of all that hold its digest; with ``within``, only the first time it
     occurs there.  Others, where they form runs that reach ``least`` bytes or ``words`` words, make a span.  Digests are counted before they are joined: a digest is one
@@ -136,14 +137,16 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, within: bool = False, id
     count as the smallest id.  A chance repetition of digests can't make a span, as it takes several in a row.
     """
     every = materialise(chunks(docs, id_col, text_col), "chunks")
-    counted = every.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("kept_doc_id")).filter("n > 1").drop("n")
+    counted = materialise(every.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("kept_doc_id")).filter("n > 1").drop("n"), "digests")
     again = every.join(counted, "digest").filter("kept_doc_id < doc_id OR NOT first" if within else "kept_doc_id < doc_id")
     again = again.groupBy("doc_id", "mark", "start").agg(F.max("length").alias("length"), F.max("words").alias("words"), F.max("kept_doc_id").alias("kept_doc_id"))
     order = Window.partitionBy("doc_id", "mark").orderBy("start")
     marked = again.withColumn("new", (F.coalesce(F.lag(F.col("start") + F.col("length")).over(order), F.lit(-1)) != F.col("start")).cast("int"))
     numbered = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = numbered.groupBy("doc_id", "mark", "run").agg(F.min("start").alias("start"), F.sum("length").cast("long").alias("length"), F.sum("words").alias("words"), F.count("*").alias("chunks"), F.min_by("kept_doc_id", "start").alias("kept_doc_id"))
-    return spans.filter((F.col("length") >= least) | (F.col("words") >= words)).drop("run", "words")
+    spans = numbered.groupBy("doc_id", "mark", "run").agg(F.min("start").alias("start"), F.sum("length").cast("long").alias("length"), F.sum("words").alias("words"), F.count("*").alias("chunks"), F.min_by("kept_doc_id", "start").alias("kept_doc_id"), F.sort_array(F.collect_set("kept_doc_id")).alias("kept_doc_ids"))
+    out = materialise(spans.filter((F.col("length") >= least) | (F.col("words") >= words)).drop("run", "words"), "spans")
+    release(every, counted)
+    return out
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -156,15 +159,17 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, within: bool = False, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """The rows of docs, each text without its repeated spans; all other columns stay."""
+    """The rows of docs, each text without its repeated spans; all other columns stay.  Null and empty texts stay as they are."""
+    key, mark, held = (free_name(docs, x) for x in ("_id", "_mark", "_spans"))
     spans = repeated_spans(docs, least, within, id_col, text_col, words)
-    by_row = spans.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
+    by_row = spans.groupBy(F.col("doc_id").alias(key), F.col("mark").alias(mark)).agg(F.collect_list(F.struct("start", "length")).alias(held))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
         return pa.array([None if t is None else without(t, [(s["start"], s["length"]) for s in ls]) for t, ls in zip(texts.to_pylist(), lists.to_pylist(), strict=True)], pa.string())
 
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_mark": F.xxhash64(text_col)})
-    joined = keyed.join(by_row, ["_id", "_mark"], "left")
-    left = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.when(F.col("_spans").isNotNull(), F.col(text_col)), "_spans"))
+    once = cut.asNondeterministic()  # so that no filter above it makes Spark cut a second time
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), mark: F.xxhash64(text_col)})
+    joined = keyed.join(by_row, [key, mark], "left")
+    left = F.when(F.col(held).isNull(), F.col(text_col)).otherwise(once(F.when(F.col(held).isNotNull(), F.col(text_col)), held))
     return joined.withColumn(text_col, left).select(*docs.columns)

@@ -11,11 +11,14 @@ from math import fsum
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents of each class that training takes at most; features that may carry weight; words a worker remembers.
-SAMPLE, VOCABULARY, MEMORY = 3000, 4000, 500_000
+from tokenloom.llm._common import parts
+
+#: Labelled documents of each class that training takes at most, and bytes of their texts; features that may carry weight; bytes
+#: of words, with some 100 for each, that a worker remembers.
+SAMPLE, SAMPLE_BYTES, VOCABULARY, MEMORY = 3000, 32 << 20, 4000, 48 << 20
 #: Standard deviations by which a feature must be more frequent in toxic documents than chance has it.
 APART = 4.5
 THRESHOLD = 0.7
@@ -50,16 +53,22 @@ class NoisyOr:
     weights: dict[bytes, float]
     bias: float
     known: dict[bytes, float] = field(default_factory=dict)
+    held: int = 0
     starts: frozenset[bytes] = frozenset()
 
     def __post_init__(self) -> None:
         self.starts = frozenset(f.removeprefix(b"^")[:3] for f in self.weights)
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) > MEMORY:
-            self.known.clear()
+        if self.held > MEMORY:
+            self.forget()
         for w in [w for w in words if w not in self.known]:
             self.known[w] = sum([self.weights.get(f, 0.0) for f in features(w)]) if w[:3] in self.starts else 0.0
+            self.held += len(w) + 100
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
 
     def sentence(self, words: bytes) -> float:
         """The log-odds of one sentence."""
@@ -67,17 +76,25 @@ class NoisyOr:
         self._learn(found)
         return self.bias + sum([self.known[w] for w in sorted(found)])
 
-    def document(self, text: str | None) -> float:
-        """1 - the product of (1 - p) over all sentences that have words; 0 where there are none."""
-        if not text:
-            return 0.0
-        split = [found for s in sentences(text)[0] if (found := set(s.split()))]
+    def bag(self, text: str | None) -> tuple[float, int | None, int | None, int | None, float | None]:
+        """A text's score, and its worst sentence: number, place and length in bytes of the UTF-8 text, and own score.
+
+        The score is 1 - the product of (1 - p) over all sentences that have words, 0 where there are none.  Of equally bad
+        sentences the first counts.
+        """
+        all_ = sentences(text)[0] if text else []
+        split = {k: found for k, s in enumerate(all_) if (found := set(s.split()))}
         if not split:
-            return 0.0
-        self._learn(set().union(*split))
+            return 0.0, None, None, None, None
+        self._learn(set().union(*split.values()))
         get = self.known.__getitem__
-        z = self.bias + np.array([fsum(map(get, found)) for found in split])
-        return float(-np.expm1(-_softplus(z).sum()))
+        z = self.bias + np.array([fsum(map(get, found)) for found in split.values()])
+        worst = list(split)[int(z.argmax())]
+        place = sum(map(len, all_[:worst])) + worst
+        return float(-np.expm1(-_softplus(z).sum())), worst, place, len(all_[worst]), float(1 / (1 + np.exp(-z.max())))
+
+    def document(self, text: str | None) -> float:
+        return self.bag(text)[0]
 
 
 def fit(texts: list[str], labels: list[int], vocabulary: int = VOCABULARY, steps: int = 300, decay: float = 1e-3, totals: tuple[int, int] | None = None) -> NoisyOr:
@@ -145,12 +162,14 @@ def fit(texts: list[str], labels: list[int], vocabulary: int = VOCABULARY, steps
 # ---- DataFrames ----------------------------------------------------------------------------------------------------
 
 
-def train(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> NoisyOr:
-    """Fits on at most ``sample`` labelled documents of either class, those with the smallest hash of the id.
+def train(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> NoisyOr:
+    """Fits on at most ``sample`` labelled documents of either class, those with the smallest hash of the id, and on as many of
+    these as have ``sample_bytes`` of text.
 
     Either class weighs as much as it has labels in all, so that the sample's size does not shift how likely a toxic document is.
     ``keep`` is a condition on the label rows (say, a fold).  A document labelled twice counts as toxic if any label says so;
-    null ids and labels are left out.  Only the sample is broadcast and collected.
+    null ids and labels are left out; of several texts of one id the first by code point is taken.  Without labels, or with
+    labels of one class only, every score is near 0.  Only the sample is broadcast and collected.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)")
     if keep is not None:
@@ -159,33 +178,47 @@ def train(docs: DataFrame, labels: DataFrame, keep=None, sample: int = SAMPLE, i
     count = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("toxic")).first()
     order = F.xxhash64("_id"), F.col("_id")
     taken = known.filter("_y = 1").orderBy(*order).limit(sample).unionByName(known.filter("_y = 0").orderBy(*order).limit(sample))
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(taken), "_id").select("_id", "_t", "_y").toArrow()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(taken), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
+    so_far = Window.partitionBy("_y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over the sample only
+    found = texts.withColumn("_sum", F.sum(F.coalesce(F.octet_length("_t"), F.lit(0))).over(so_far)).filter(F.col("_sum") <= sample_bytes).select("_id", "_t", "_y").toArrow()
     rows = sorted((i, t or "", y) for i, t, y in zip(*(c.to_pylist() for c in found.columns), strict=True))
     del found
     return fit([t for _, t, _ in rows], [y for *_, y in rows], totals=(count.n - count.toxic, count.toxic))
 
 
-def _scored(model, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("worst_sentence", pa.int32()), ("worst_start", pa.int64()), ("worst_length", pa.int64()), ("worst_score", pa.float64())])
+
+
+def _scored(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     m: NoisyOr = model.value
     for batch in batches:
-        scores = [m.document(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], schema=schema)
+        for part in parts(batch):
+            found = list(zip(*(m.bag(t.as_py()) for t in part.column(1)), strict=True))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(found, list(SCORED)[1:], strict=True))], schema=SCORED)
+    m.forget()  # a worker may live on
 
 
 def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score of every row; null and empty texts score 0, repeated rows score alike."""
+    """doc_id and score of every row, and where its worst sentence is: number, place and length in bytes of the UTF-8 text, own score.
+
+    Null and empty texts score 0 and have no sentence; repeated rows score alike.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(functools.partial(_scored, shared, schema), "doc_id long, score double")
+    schema = "doc_id long, score double, worst_sentence int, worst_start long, worst_length long, worst_score double"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(functools.partial(_scored, shared), schema)
 
 
 def with_score(docs: DataFrame, model: NoisyOr, text_col: str = "text", to: str = "toxicity") -> DataFrame:
-    """Adds the score as a column, whatever other columns there are."""
+    """Adds the score as the column ``to``, in place of one of that name; all other columns stay.  Null and empty texts score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.document(t.as_py()) for t in texts], pa.float64())
+        m: NoisyOr = shared.value
+        out = pa.array([m.document(t.as_py()) for t in texts], pa.float64())
+        if m.held > MEMORY // 4:
+            m.forget()
+        return out
 
     return docs.withColumn(to, scored(F.col(text_col)))
 
@@ -193,19 +226,23 @@ def with_score(docs: DataFrame, model: NoisyOr, text_col: str = "text", to: str
 def _located(model, least: float, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     m: NoisyOr = model.value
     for batch in batches:
-        rows = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            at, raw = 0, (text or "").encode("utf-8", "surrogatepass")
-            for k, s in enumerate(sentences(text or "")[0]):
-                if s.split() and (p := float(1 / (1 + np.exp(-m.sentence(s))))) >= least:
-                    rows.append((key, k, at, len(s), p, raw[at : at + len(s)].decode("utf-8", "replace")))
-                at += len(s) + 1
-        columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        for part in parts(batch):
+            rows = []
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                at, raw = 0, (text or "").encode("utf-8", "surrogatepass")
+                for k, s in enumerate(sentences(text or "")[0]):
+                    if s.split() and (p := float(1 / (1 + np.exp(-m.sentence(s))))) >= least:
+                        rows.append((key, k, at, len(s), p, raw[at : at + len(s)].decode("utf-8", "replace")))
+                    at += len(s) + 1
+            columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def offending_sentences(docs: DataFrame, model: NoisyOr, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per sentence whose own score reaches ``least``: its number, its bytes' place in the UTF-8 text, and the text."""
+    """One row per sentence whose own score reaches ``least``: its number, its bytes' place in the UTF-8 text, and the text.
+
+    Null and empty texts have none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("sentence", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("score", pa.float64()), ("text", pa.string())])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(functools.partial(_located, shared, least, schema), "doc_id long, sentence int, start long, length long, score double, text string")
