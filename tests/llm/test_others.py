@@ -414,19 +414,33 @@ def test_search_edges(spark):
 # ---- licenses ------------------------------------------------------------------------------------------------------
 
 
+def windows_that_hold(texts):
+    """(document, license) by brute force over all windows."""
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    out = set()
+    for name, t in licenses.TEMPLATES.items():
+        own = shingles(licenses.words(t))
+        wide, step = licenses.window(len(licenses.words(t)))
+        for doc, w in texts.items():
+            if any(len(own & shingles(w[a : a + wide])) >= 0.8 * len(own) for a in range(0, max(1, len(w) - 4), step)):
+                out.add((doc, name))
+    return out
+
+
 def test_licenses(spark):
     rng = random.Random(1)
     noise = lambda n: " ".join(rng.choice(["alpha", "beta", "license", "gamma", "software"]) for _ in range(n))
-    docs, want = [], set()
+    docs, named = [], set()
     for i, (name, text) in enumerate(licenses.TEMPLATES.items()):
         docs.append((i, f"{noise(rng.randrange(60))}\n{text.upper() if i % 2 else text}\n{noise(rng.randrange(60))}"))
-        want.add((i, name))
+        named.add((i, name))
     docs += [(50, noise(300)), (51, ""), (52, None), (53, "Released under the MIT Licence."), (0, docs[0][1])]
     w = licenses.TEMPLATES["MIT permission"].split()
     docs += [(54, " ".join([*w[:60], "changed", *w[61:]])), (55, " ".join(w[:40]))]
-    want.add((54, "MIT permission"))
+    named |= {(54, "MIT permission"), (6, "Apache-2.0 line")}  # the notice begins with the line
+    want = windows_that_hold({k: licenses.words(t or "") for k, t in docs[::-1]})
+    assert named <= want
     got = licenses.scan(spark.createDataFrame(docs, DOCS).withColumns({"license": F.lit(1), "h": F.lit(2)})).collect()
-    want.add((6, "Apache-2.0 line"))  # the notice begins with the line
     assert {(r.doc_id, r.license) for r in got} == want and all(0.8 <= r.containment <= 1 for r in got)
     with pytest.raises(ValueError, match="words"):
         licenses.scan(spark.createDataFrame(docs, DOCS), {"x": "too short"})
@@ -434,14 +448,7 @@ def test_licenses(spark):
 
 def test_license_query_is_brute_force(spark):
     texts = {r.doc_id: licenses.words(r.text or "") for r in spark.read.parquet(f"{TABLES}/documents.parquet").collect()}
-    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    want = set()
-    for name, t in licenses.TEMPLATES.items():
-        own = shingles(licenses.words(t))
-        wide, step = licenses.window(len(licenses.words(t)))
-        for doc, w in texts.items():
-            if any(len(own & shingles(w[a : a + wide])) >= 0.8 * len(own) for a in range(0, max(1, len(w) - 4), step)):
-                want.add((doc, name))
+    want = windows_that_hold(texts)
     assert {(r.doc_id, r.license) for r in queries.op8_license_windows(spark, TABLES).collect()} == want
 
 
