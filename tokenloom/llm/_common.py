@@ -16,10 +16,20 @@ from pyspark.sql import functions as F
 
 #: A word of the contracts: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch, unless the session names a number of its own: the JVM and Python hold a batch of texts several times.
+BATCH_ROWS = "1000"
 _written: list[tuple[SparkSession, str]] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows where they are Spark's usual 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tokenloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
@@ -80,7 +91,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def parts(batch: pa.RecordBatch, column: int = 1, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: int = 1, rows: int = 500, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices of at most ``rows`` rows whose texts in a column hold about ``size`` bytes, or one row."""
     texts = batch.column(column)
     width = 8 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else 4

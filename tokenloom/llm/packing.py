@@ -35,7 +35,7 @@ class WordEncoder:
         import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
@@ -46,6 +46,12 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.held = 0
 
+    @functools.cached_property
+    def whole(self):  # noqa: ANN201  only few texts need it
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def split(self, word: str) -> list[str]:
         """A word's pre-tokens; the pattern is only needed where more than a last full stop or comma isn't a letter."""
         if word.isalpha():

@@ -16,17 +16,22 @@ _INVERSE = pow(_P, -1, 1 << 64)
 _PLACES = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 #: ASCII upper to lower case; the white space of the contract to a space.
 _TABLE = bytes(32 if i == 32 or 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
-BLOCK = 1 << 20
+#: Bytes of texts that are hashed at once; powers are kept for so many, and made anew for longer texts.
+BLOCK = 1 << 18
 _powers = [np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)]
 
 
 def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_P, _INVERSE)):
-            x = np.full(n, base, dtype=np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x)
-    return _powers
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for base in (_P, _INVERSE):
+        x = np.full(max(n, BLOCK + 2), base, dtype=np.uint64)
+        x[0] = 1
+        made.append(np.cumprod(x))
+    if n <= BLOCK + 2:
+        _powers[:] = made
+    return made
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ REACH = 16
 #: phrases. Of what two texts share, the chunks at both ends are lost: some 45 bytes, about 10 of 51 words.
 LEAST, WORDS = 120, 20
 #: Bytes of texts that are cut at once, and the zero bytes that keep texts apart.
-BLOCK, GAP = 2 << 20, 64
+BLOCK, GAP = 1 << 19, 64
 #: A random value for each byte; byte 0 counts nothing, so that what stands before a text is like nothing.
 GEAR = np.concatenate(([0], np.random.default_rng(2024).integers(1, 1 << 16, 255))).astype(np.uint16)
 CHUNKS = "doc_id long, mark long, start long, length int, words int, first boolean, digest long"
