@@ -131,3 +131,22 @@ def test_long_names(spark):
 
     name = "_".join(["ab"] * 1500)
     assert spark.createDataFrame([(name,)], "n string").select(strings.camel(F.col("n"))).first()[0] == "ab" + "Ab" * 1499
+
+
+def test_snapshots_do_what_is_decided(spark, tmp_path):
+    from tokenloom.sources import manifest
+
+    registry, target = tmp_path / "registry", tmp_path / "there"
+    (registry / "sub").mkdir(parents=True)
+    for name, text in (("a.json", "one"), ("b.json", "two"), ("sub/c.json", "three"), ("d.bin", "four")):
+        (registry / name).write_text(text)
+    run = lambda commit, *globs: {r.path: (r.action, r.done, r.fraction) for r in manifest.snapshot(spark, str(registry), str(target), commit, list(globs)).collect()}
+    commit = "0" * 40
+    assert run(commit, "*.json") == {"a.json": ("fetch", 1, 1 / 3), "b.json": ("fetch", 2, 2 / 3), "sub/c.json": ("fetch", 3, 1.0)}
+    assert (target / "sub/c.json").read_text() == "three" and not (target / "d.bin").exists()
+    assert {v[0] for v in run(commit).values()} == {"keep", "fetch"} and (target / "d.bin").read_text() == "four"
+    (registry / "b.json").write_text("new")
+    (target / manifest.KEPT / "a.json.txt").write_text("broken")
+    got = {k: v[0] for k, v in run("1" * 40).items()}
+    assert got == {"a.json": "refresh", "b.json": "fetch", "d.bin": "refresh", "sub/c.json": "refresh"}
+    assert (target / "b.json").read_text() == "new" and (target / manifest.KEPT / "a.json.txt").read_text().startswith("1" * 40)

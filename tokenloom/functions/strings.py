@@ -55,3 +55,19 @@ def is_sha256(c: Column) -> Column:
 
 def is_commit(c: Column) -> Column:
     return c.rlike("^[0-9a-f]{40}$")
+
+
+def inverted(m: Column) -> Column:
+    """A map's keys by their values; of equal values the last counts."""
+    values, keys = F.map_values(m), F.map_keys(m)
+    last = F.transform(values, lambda v, i: F.array_position(F.reverse(values), v) == F.size(values) - i)
+    kept = lambda a: F.transform(F.filter(F.zip_with(a, last, lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda p: p["k"]), lambda p: p["x"])
+    return F.map_from_arrays(kept(values), kept(keys))
+
+
+def merged(*maps: Column) -> Column:
+    """Maps put together; of equal keys the last counts."""
+    entries = F.flatten(F.array(*(F.map_entries(m) for m in maps)))
+    keys = F.transform(entries, lambda e: e["key"])
+    kept = F.filter(F.transform(entries, lambda e, i: F.struct(e.alias("e"), (F.array_position(F.reverse(keys), e["key"]) == F.size(keys) - i).alias("k"))), lambda p: p["k"])
+    return F.map_from_entries(F.transform(kept, lambda p: p["e"]))

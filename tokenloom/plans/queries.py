@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions import bytemap, strings
 from tokenloom.operators import chat, decoders, models, normalizers, postprocessors, pretokenizers, splits
 from tokenloom.plans.tokenizer import Tokenizer
-from tokenloom.sources import manifest
+from tokenloom.sources import config, manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -428,11 +428,47 @@ def _head(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["s_head_metadata"] = _head
 SQL["s_head_metadata"] = "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'c' END AS \"commit\", md5(url) AS etag, CASE WHEN page_id % 2 = 0 THEN 'elsewhere' ELSE url END AS location, CAST(CASE WHEN page_id % 2 = 0 THEN 12 END AS BIGINT) AS size FROM pages"
 
+QUERIES["s_filenames"] = lambda spark, d: manifest.listed_files(_table(spark, d, "pages").select("page_id", F.col("url").alias("path")), ["*page=?*", "https://*/en/*"], "page_id")
+SQL["s_filenames"] = "SELECT path, CAST(row_number() OVER (ORDER BY g, p, path) - 1 AS INTEGER) AS place FROM (SELECT url AS path, min(CASE WHEN url GLOB '*page=?*' THEN 0 ELSE 1 END) AS g, min(page_id) AS p FROM pages WHERE url GLOB '*page=?*' OR url GLOB 'https://*/en/*' GROUP BY url)"
+
+
+def _repo_metadata(spark: SparkSession, d: str) -> DataFrame:
+    pages = _table(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), "url", "page_id")
+    heads = pages.filter("page_id % 4 <> 3").select("path", F.create_map(F.lit("etag"), F.concat(F.lit('"'), F.md5("url"), F.lit('"')), F.lit("content-length"), F.col("path")).alias("headers"), "url", F.lit(200).alias("status"))
+    return manifest.with_metadata(manifest.select_files(pages.select("path"), ["1*", "?3*"]), heads).select("path", "etag", "location", "size")
+
+
+QUERIES["s_repo_metadata"] = _repo_metadata
+SQL["s_repo_metadata"] = "SELECT p.path, h.etag, h.url AS location, h.page_id AS size FROM (SELECT CAST(page_id AS VARCHAR) AS path FROM pages WHERE CAST(page_id AS VARCHAR) GLOB '1*' OR CAST(page_id AS VARCHAR) GLOB '?3*') p LEFT JOIN (SELECT CAST(page_id AS VARCHAR) AS path, md5(url) AS etag, url, page_id FROM pages WHERE page_id % 4 <> 3) h USING (path)"
+QUERIES["s_write_metadata"] = lambda spark, d: _table(spark, d, "pages").select("page_id", manifest.write_metadata(F.md5("html"), F.md5("url"), F.col("page_id").cast("double")).alias("text"))
+SQL["s_write_metadata"] = "SELECT page_id, md5(html) || chr(10) || md5(url) || chr(10) || page_id || '.0' || chr(10) AS text FROM pages"
+
+
+def _configuration(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("item_id") % 5 == 0, F.lit("[1]")).otherwise(F.concat(F.lit('{"name": "a\\\\nb", "id": '), F.col("item_id").cast("string"), F.lit("}")))
+    return _table(spark, d, "benchmark").select("item_id", config.parse_column(text).alias("m")).select("item_id", F.col("m")["name"].alias("name"), F.col("m")["id"].alias("id"))
+
+
+QUERIES["s_configuration"] = _configuration
+SQL["s_configuration"] = "SELECT item_id, CASE WHEN item_id % 5 <> 0 THEN 'a' || chr(10) || 'b' END AS name, CASE WHEN item_id % 5 <> 0 THEN CAST(item_id AS VARCHAR) END AS id FROM benchmark"
+
 # ---- functions -----------------------------------------------------------------------------------------------------
 
 QUERIES["f_names"] = lambda spark, d: _table(spark, d, "events").select("event_type").distinct().select("event_type", strings.capitalize(F.col("event_type")).alias("capital"), strings.camel(F.concat(F.col("event_type"), F.lit("_type_name"))).alias("camel"), strings.uncamel(F.concat(F.lit("some"), F.initcap("event_type"), F.lit("Name"))).alias("snake"))
 SQL["f_names"] = "SELECT event_type, upper(event_type[1]) || lower(event_type[2:]) AS capital, event_type || 'TypeName' AS camel, 'some_' || event_type || '_name' AS snake FROM (SELECT DISTINCT event_type FROM events)"
 
+_shown = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+
+
+def _maps(spark: SparkSession, d: str) -> DataFrame:
+    two, three = (F.format_string("v%d", F.col("page_id") % k) for k in (2, 3))
+    one = F.create_map(F.lit("a"), two, F.lit("b"), three)
+    return _table(spark, d, "pages").select("page_id", _shown(strings.inverted(one)).alias("inverted"), _shown(strings.merged(one, F.create_map(F.lit("b"), two, F.lit("c"), three))).alias("merged"))
+
+
+QUERIES["f_maps"] = _maps
+SQL["f_maps"] = "SELECT page_id, CASE WHEN x = y THEN y || '=b' ELSE array_to_string(list_sort([x || '=a', y || '=b']), ',') END AS inverted, 'a=' || x || ',b=' || x || ',c=' || y AS merged FROM (SELECT page_id, 'v' || page_id % 2 AS x, 'v' || page_id % 3 AS y FROM pages)"
+
 # ---- whole pipelines -----------------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from tokenloom.functions.strings import snake
 
 
@@ -43,3 +46,8 @@ def parse(text: str) -> dict:
     if not isinstance(found, dict):
         raise TokenizerError("parse", "not an object")
     return found
+
+
+def parse_column(c: Column) -> Column:
+    """The same as a column: a map from names to their values' JSON or texts; null where a text isn't an object."""
+    return F.from_json(F.replace(c, F.lit("\\\\n"), F.lit("\\n")), "map<string,string>")
