@@ -147,6 +147,7 @@ def test_snapshots_do_what_is_decided(spark, tmp_path):
     assert {v[0] for v in run(commit).values()} == {"keep", "fetch"} and (target / "d.bin").read_text() == "four"
     (registry / "b.json").write_text("new")
     (target / manifest.KEPT / "a.json.txt").write_text("broken")
+    (target / manifest.KEPT / ".a.json.txt.crc").unlink()
     got = {k: v[0] for k, v in run("1" * 40).items()}
     assert got == {"a.json": "refresh", "b.json": "fetch", "d.bin": "refresh", "sub/c.json": "refresh"}
     assert (target / "b.json").read_text() == "new" and (target / manifest.KEPT / "a.json.txt").read_text().startswith("1" * 40)
