@@ -243,3 +243,26 @@ def test_sync_of_missing_values(spark):
     remote = spark.createDataFrame([("a", None, None), ("b", "f" * 40, "e"), ("c", "f" * 40, "0" * 64), ("d", "main", "e")], "path string, commit string, etag string")
     local = spark.createDataFrame([("b", "f" * 40, "x", "y"), ("c", None, None, "0" * 64), ("d", "main", "e", "z")], "path string, local_commit string, local_etag string, sha256 string")
     assert {r.path: r.action for r in manifest.sync(remote, local).collect()} == {"a": "fetch", "b": "keep", "c": "refresh", "d": "refresh"}
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("{% for m in messages %}{{ loop.previtem.role if loop.previtem is defined else '-' }}>{{ m.role }} {% else %}none{% endfor %}", "->user user>system system>user "),
+        ("{% for m in [] %}x{% else %}none{% endfor %}", "none"),
+        ("{{ messages | selectattr('role', 'equalto', 'user') | map(attribute='content') | join('+') }}", "one+three"),
+        ("{{ messages | rejectattr('role', 'eq', 'user') | list | length }}", "1"),
+        ("{{ '{{ }} %}' }}|{% if '%}' in '{%}' %}yes{% endif %}", "{{ }} %}|yes"),
+        ("{% macro say(who, what='hi', end='.') %}{{ who }}:{{ what }}{{ end }}{% endmacro %}{{ say('a') }}{{ say('b', end='!', what='ho') }}", "a:hi.b:ho!"),
+        ("{{ messages[::-1][0].content }}{{ messages[1:] | length }}", "three2"),
+        ("{% set x %}a{{ 1 + 1 }}{% endset %}[{{ x }}]", "[a2]"),
+        ("{% for i in range(9) %}{% if i == 1 %}{% continue %}{% endif %}{% if i is divisibleby(4) and i > 0 %}{% break %}{% endif %}{{ i }}{% endfor %}", "023"),
+        ("{{ ['b', 'a', 'b'] | unique | sort | join }}{{ 'x\ny' | indent(2) }}{{ {'k': 1}.get('k') }}{% for k, v in {'q': 2}.items() %}{{ k }}{{ v }}{% endfor %}", "abx\n  y1q2"),
+        ("{% generation %}{{ ['A', 'b'] | map('lower') | join(',') }}{% endgeneration %}{{ loop is undefined }}", "a,bTrue"),
+    ],
+)
+def test_more_of_templates(source, want):
+    from tokenloom.operators.templates import Template
+
+    messages = [{"role": "user", "content": "one"}, {"role": "system", "content": "two"}, {"role": "user", "content": "three"}]
+    assert Template(source).render(messages=messages) == want

@@ -9,7 +9,8 @@ from typing import Any
 from tokenloom.sources.config import TokenizerError
 
 _TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|//|\*\*|[-+*/%~<>()\[\]{},.:|=]))")
-_TAG = re.compile(r"(\{\{-?.*?-?\}\}|\{%-?.*?-?%\}|\{#-?.*?-?#\})", re.DOTALL)
+_INSIDE = r"(?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|[^'\"])*?"
+_TAG = re.compile(rf"(\{{\{{-?{_INSIDE}-?\}}\}}|\{{%-?{_INSIDE}-?%\}}|\{{#-?.*?-?#\}})", re.DOTALL)
 
 
 class Undefined:
@@ -30,6 +31,13 @@ class Namespace(dict):
     pass
 
 
+class _Break(Exception):  # noqa: N818
+    """The end of a loop, or with ``further`` of one of its rounds."""
+
+    def __init__(self, further: bool):
+        self.further = further
+
+
 def _fail(message: str) -> TokenizerError:
     return TokenizerError("chatTemplate", message)
 
@@ -96,9 +104,10 @@ class Expression:
                 left = "not", ("op", "in", left, self._sum())
             elif self._take("is"):
                 negative = bool(self._take("not"))
-                kind, name = self.tokens[self.at]
+                name = self.tokens[self.at][1]
                 self.at += 1
-                left = ("not", ("test", name, left)) if negative else ("test", name, left)
+                args = self._arguments(")")[0] if self._take("(") else []
+                left = ("not", ("test", name, left, args)) if negative else ("test", name, left, args)
             else:
                 return left
 
@@ -143,8 +152,9 @@ class Expression:
                 else:
                     first = self._choice()
                 if self._take(":"):
-                    last = None if self._is("]") else self._choice()
-                    value = "slice", value, first, last
+                    last = None if self._is("]", ":") else self._choice()
+                    step = None if not self._take(":") or self._is("]") else self._choice()
+                    value = "slice", value, first, last, step
                 else:
                     value = "get", value, first
                 self._need("]")
@@ -200,7 +210,7 @@ _shown = str
 
 def _index(value: Any, key: Any) -> Any:
     if isinstance(value, dict):
-        return value.get(key, UNDEFINED)
+        return value[key] if key in value else getattr(value, key) if key in ("items", "keys", "values", "get") else UNDEFINED
     if isinstance(value, list | str) and isinstance(key, int):
         return value[key] if -len(value) <= key < len(value) else UNDEFINED
     if isinstance(value, str) and key in ("strip", "lstrip", "rstrip", "upper", "lower", "title", "split", "startswith", "endswith", "replace"):
@@ -209,8 +219,38 @@ def _index(value: Any, key: Any) -> Any:
 
 
 _OPS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b, "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b, "//": lambda a, b: a // b, "%": lambda a, b: a % b, "~": lambda a, b: _shown(a) + _shown(b)}
-_TESTS = {"defined": lambda x: x is not UNDEFINED, "undefined": lambda x: x is UNDEFINED, "none": lambda x: x is None, "string": lambda x: isinstance(x, str), "mapping": lambda x: isinstance(x, dict), "iterable": lambda x: isinstance(x, list | dict | str), "number": lambda x: isinstance(x, int | float) and not isinstance(x, bool), "true": lambda x: x is True, "false": lambda x: x is False, "sequence": lambda x: isinstance(x, list | str)}
+_TESTS = {"defined": lambda x: x is not UNDEFINED, "undefined": lambda x: x is UNDEFINED, "none": lambda x: x is None, "string": lambda x: isinstance(x, str), "mapping": lambda x: isinstance(x, dict), "iterable": lambda x: isinstance(x, list | dict | str), "number": lambda x: isinstance(x, int | float) and not isinstance(x, bool), "true": lambda x: x is True, "false": lambda x: x is False, "sequence": lambda x: isinstance(x, list | str), "boolean": lambda x: isinstance(x, bool), "integer": lambda x: isinstance(x, int) and not isinstance(x, bool), "float": lambda x: isinstance(x, float), "odd": lambda x: x % 2 == 1, "even": lambda x: x % 2 == 0, "divisibleby": lambda x, n: x % n == 0, "callable": callable, "in": lambda x, xs: x in xs}
+_TESTS |= {name: _OPS[op] for op, names in (("==", ("eq", "equalto")), ("!=", ("ne",)), ("<", ("lt", "lessthan")), (">", ("gt", "greaterthan")), ("<=", ("le",)), (">=", ("ge",))) for name in names}
 _FILTERS = {"trim": lambda x: _shown(x).strip(), "upper": lambda x: _shown(x).upper(), "lower": lambda x: _shown(x).lower(), "length": len, "count": len, "first": lambda x: x[0] if x else UNDEFINED, "last": lambda x: x[-1] if x else UNDEFINED, "string": _shown, "int": int, "list": list, "join": lambda x, by="": by.join(map(_shown, x)), "items": lambda x: [list(i) for i in x.items()], "default": lambda x, other="": other if x is UNDEFINED else x, "replace": lambda x, a, b: x.replace(a, b), "tojson": lambda x, indent=None: json.dumps(x, ensure_ascii=False, indent=indent)}
+_FILTERS |= {"capitalize": lambda x: _shown(x).capitalize(), "title": lambda x: _shown(x).title(), "reverse": lambda x: x[::-1], "sum": sum, "min": min, "max": max, "abs": abs, "float": float, "safe": lambda x: x, "unique": lambda x: list(dict.fromkeys(x)), "round": lambda x, n=0: round(float(x), n), "sort": lambda x, reverse=False, attribute=None: sorted(x, key=(lambda r: r) if attribute is None else lambda r: _path(r, attribute), reverse=reverse), "indent": lambda x, width=4, first=False: ("" if not first else " " * width) + _shown(x).replace("\n", "\n" + " " * width), "dictsort": lambda x: [list(i) for i in sorted(x.items())], "groupby": lambda x, attribute: [[k, [r for r in x if _path(r, attribute) == k]] for k in sorted({_path(r, attribute) for r in x})]}
+
+
+def _path(row: Any, attribute: Any) -> Any:
+    """An attribute by its name, or several in a row with points between."""
+    for key in str(attribute).split(".") if isinstance(attribute, str) else [attribute]:
+        row = _index(row, key)
+    return row
+
+
+def _passes(value: Any, test: tuple) -> bool:
+    if not test:
+        return bool(value)
+    name, *args = test
+    if name not in _TESTS:
+        raise _fail(f"unknown test {name}")
+    return bool(_TESTS[name](value, *args))
+
+
+def _mapped(rows: Any, *how: Any, **named: Any) -> list:
+    """An attribute of each row (with a default), or a filter of each."""
+    if "attribute" in named:
+        return [named.get("default", UNDEFINED) if (found := _path(r, named["attribute"])) is UNDEFINED else found for r in rows]
+    if not how or how[0] not in _FILTERS:
+        raise _fail("map needs an attribute or a filter")
+    return [_FILTERS[how[0]](r, *how[1:], **named) for r in rows]
+
+
+_FILTERS |= {"map": _mapped, "select": lambda x, *t: [r for r in x if _passes(r, t)], "reject": lambda x, *t: [r for r in x if not _passes(r, t)], "selectattr": lambda x, a, *t: [r for r in x if _passes(_path(r, a), t)], "rejectattr": lambda x, a, *t: [r for r in x if not _passes(_path(r, a), t)]}
 
 
 def value_of(tree: tuple, scope: dict) -> Any:
@@ -237,20 +277,19 @@ def value_of(tree: tuple, scope: dict) -> Any:
                 return _OPS[op](ev(a), ev(b))
             except TypeError as e:
                 raise _fail(str(e)) from None
-        case ("test", name, a):
-            if name not in _TESTS:
-                raise _fail(f"unknown test {name}")
-            return _TESTS[name](ev(a))
+        case ("test", name, a, args):
+            return _passes(ev(a), (name, *map(ev, args)))
         case ("get", a, k):
             return _index(ev(a), ev(k))
-        case ("slice", a, x, y):
-            return ev(a)[None if x is None else ev(x) : None if y is None else ev(y)]
+        case ("slice", a, *bounds):
+            return ev(a)[slice(*(None if x is None else ev(x) for x in bounds))]
         case ("filter", name, a, args, named):
             if name not in _FILTERS:
                 raise _fail(f"unknown filter {name}")
             return _FILTERS[name](ev(a), *map(ev, args), **{k: ev(v) for k, v in named.items()})
         case ("call", f, args, named):
-            found = {"raise_exception": _raise, "range": lambda *a: list(range(*a)), "namespace": lambda **k: Namespace(k)}.get(f[1]) if f[0] == "name" else ev(f)
+            known = {"raise_exception": _raise, "range": lambda *a: list(range(*a)), "namespace": lambda **k: Namespace(k), "dict": lambda **k: k}
+            found = known[f[1]] if f[0] == "name" and f[1] in known else ev(f)
             if not callable(found):
                 raise _fail("not a function")
             return found(*map(ev, args), **{k: ev(v) for k, v in named.items()})
@@ -295,8 +334,9 @@ class Template:
                     m = re.match(r"(\w+(?:\s*,\s*\w+)*)\s+in\s+(.*?)(?:\s+if\s+(?!.*\belse\b)(.*))?$", rest, re.DOTALL)
                     if not m:
                         raise _fail(f"for {rest}")
-                    body, _ = self._block(("endfor",))
-                    out.append(("for", [x.strip() for x in m[1].split(",")], Expression(m[2]).tree, Expression(m[3]).tree if m[3] else None, body))
+                    body, end = self._block(("else", "endfor"))
+                    other = self._block(("endfor",))[0] if end.startswith("else") else []
+                    out.append(("for", [x.strip() for x in m[1].split(",")], Expression(m[2]).tree, Expression(m[3]).tree if m[3] else None, body, other))
                 elif word == "if":
                     branches, other, end = [], [], text
                     condition = Expression(rest).tree
@@ -311,8 +351,21 @@ class Template:
                         other, _ = self._block(("endif",))
                     out.append(("if", branches, other))
                 elif word == "set":
-                    name, _, value = rest.partition("=")
-                    out.append(("set", name.strip(), Expression(value).tree))
+                    name, sign, value = rest.partition("=")
+                    if sign:
+                        out.append(("set", name.strip(), Expression(value).tree))
+                    else:
+                        out.append(("capture", name.strip(), self._block(("endset",))[0]))
+                elif word == "macro":
+                    m = re.match(r"(\w+)\s*\((.*)\)$", rest, re.DOTALL)
+                    if not m:
+                        raise _fail(f"macro {rest}")
+                    plain, named = Expression(f"f({m[2]})").tree[2:]
+                    out.append(("macro", m[1], [x[1] for x in plain], named, self._block(("endmacro",))[0]))
+                elif word == "generation":  # marks what a model answers; shows it as it is
+                    out += self._block(("endgeneration",))[0]
+                elif word in ("break", "continue"):
+                    out.append((word,))
                 else:
                     raise _fail(f"unknown tag {word}")
         if ends:
@@ -320,9 +373,7 @@ class Template:
         return out, ""
 
     def render(self, **names: Any) -> str:
-        out: list[str] = []
-        self._run(self.body, dict(names), out)
-        return "".join(out)
+        return self._text(self.body, dict(names))
 
     def _run(self, body: list, scope: dict, out: list[str]) -> None:
         for item in body:
@@ -340,11 +391,40 @@ class Template:
                         scope[name] = value
                 case ("if", branches, other):
                     self._run(next((b for c, b in branches if value_of(c, scope)), other), scope, out)
-                case ("for", names, tree, condition, inner):
+                case ("capture", name, inner):
+                    scope[name] = self._text(inner, dict(scope))
+                case ("macro", name, names, defaults, inner):
+                    scope[name] = self._function(names, defaults, inner, scope)
+                case ("break" | "continue",):
+                    raise _Break(item[0] == "continue")
+                case ("for", names, tree, condition, inner, other):
                     rows = list(value_of(tree, scope) or ())
                     pairs = [dict(zip(names, r if len(names) > 1 else [r], strict=True)) for r in rows]
                     if condition is not None:
                         pairs = [p for p in pairs if value_of(condition, scope | p)]
+                    shown = [p[names[0]] if len(names) == 1 else list(p.values()) for p in pairs]
                     for i, pair in enumerate(pairs):
-                        loop = {"index0": i, "index": i + 1, "first": i == 0, "last": i == len(pairs) - 1, "length": len(pairs)}
-                        self._run(inner, scope | pair | {"loop": loop}, out)
+                        n = len(pairs)
+                        loop = {"index0": i, "index": i + 1, "revindex": n - i, "revindex0": n - i - 1, "first": i == 0, "last": i == n - 1, "length": n, "previtem": shown[i - 1] if i else UNDEFINED, "nextitem": shown[i + 1] if i + 1 < n else UNDEFINED, "cycle": lambda *xs, i=i: xs[i % len(xs)]}
+                        try:
+                            self._run(inner, scope | pair | {"loop": loop}, out)
+                        except _Break as e:
+                            if not e.further:
+                                break
+                    if not pairs:
+                        self._run(other, scope, out)
+
+    def _text(self, body: list, scope: dict) -> str:
+        out: list[str] = []
+        self._run(body, scope, out)
+        return "".join(out)
+
+    def _function(self, names: list[str], defaults: dict, body: list, scope: dict) -> Any:
+        """A macro: what its body shows with the arguments by their places or names."""
+
+        def call(*args: Any, **named: Any) -> str:
+            given = dict(zip([*names, *defaults], args, strict=False)) | named
+            other = {k: value_of(t, scope) for k, t in defaults.items() if k not in given}
+            return self._text(body, scope | dict.fromkeys(names, UNDEFINED) | other | given)
+
+        return call
