@@ -77,10 +77,50 @@ def test_groups_of_nothing_and_of_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert ngram_join.groups(spark.createDataFrame([], schema)).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None)], schema)
-    assert sorted((r.doc_id, r.text) for r in ngram_join.keep_one(rows).collect() if r.doc_id is not None) == [(1, "a b c d e f"), (1, "a b c d e f")]
+    assert sorted((r.doc_id, r.text) for r in ngram_join.keep_one(rows).collect() if r.doc_id is not None) == [(1, "a b c d e f")]  # rows with equal ids are one document
     assert ngram_join.keep_one(rows).filter("doc_id IS NULL").count() == 2
 
 
+def test_ids_with_several_texts_link_with_what_any_of_them_links_with(spark):
+    one, two, three = ("a b c d e f g h i j k l", "m n o p q r s t u v w x", "1 2 3 4 5 6 7 8 9 10 11 12")
+    rows = [(0, one), (1, one), (1, two), (2, two), (3, three), (4, three), (3, three)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(df, 3, 90).collect()}
+    assert got == {0: (10, 0), 1: (10, 0), 2: (10, 0), 3: (10, 3), 4: (10, 3)}
+
+
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 20, 200, 3000):
+        for changed in (0, 1, n // 20, n // 5, n // 2):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            y = np.unique(np.concatenate((x[changed:], rng.integers(0, 1 << 63, rng.integers(0, changed + 1), dtype=np.uint64))))
+            apart = len(np.setxor1d(x, y))
+            assert ngram_join.apart_at_least(ngram_join.sketch(x), ngram_join.sketch(y)) <= apart
+            both = len(np.intersect1d(x, y))
+            for percent in (80, 90):
+                if both and 100 * both >= percent * (len(x) + len(y) - both):
+                    assert apart <= ngram_join.most_apart(len(x), len(y), percent, False)
+    far = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(2)]
+    assert ngram_join.apart_at_least(*map(ngram_join.sketch, far)) > ngram_join.most_apart(300, 300, 80, True)
+
+
+def test_satellites_meet_without_their_leader(spark):
+    """Many copies that share a change which their leader lacks, each with changes of its own."""
+    rng = random.Random(11)
+    base = [rng.choice(WORDS) for _ in range(200)]
+    changed = [*base[:40], *(f"new{i}" for i in range(30)), *base[70:]]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 60):
+        w = list(changed)
+        for k in rng.sample(range(len(w)), i % 4):
+            w[k] = f"own{i}_{k}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(df, 3, 90).collect()}
+    assert got == brute_components(docs, 3, 90)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(7, 7)]
     got = {r.node: r.component for r in ngram_join.components(spark.createDataFrame(links, "a long, b long")).collect()}

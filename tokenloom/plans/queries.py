@@ -369,9 +369,9 @@ SQL["c_template"] = SQL["c_generation_prompt"]
 QUERIES["c_named_template"] = _chat(lambda m: chat.render(m, {"chat_template": _NAMED, "bos_token": "<s>"}, name="short"))
 SQL["c_named_template"] = r"SELECT conv_id, '<s>' || string_agg(upper(role) || '=' || regexp_replace(text, '^\s+|\s+$', '', 'g'), '|' ORDER BY turn, role, text) AS out FROM conversations GROUP BY conv_id"
 
-_FILTERED = "{% macro line(m) %}{{ m.role }}: {{ m.content | upper }}{% endmacro %}{% for m in messages | selectattr('role', 'equalto', 'user') %}{{ line(m) }}{{ '' if loop.last else '}}' }}{% else %}none{% endfor %}"
+_FILTERED = "{% macro line(m) %}{{ m.role }}: {{ m.content | length }}{% endmacro %}{% for m in messages | selectattr('role', 'equalto', 'user') %}{{ line(m) }}{{ '' if loop.last else '}}' }}{% else %}none{% endfor %}"
 QUERIES["c_filters"] = _chat(lambda m: chat.render(m, {"chat_template": _FILTERED}))
-SQL["c_filters"] = "SELECT conv_id, coalesce(string_agg('user: ' || upper(text), '}}' ORDER BY turn, role, text) FILTER (WHERE role = 'user'), 'none') AS out FROM conversations GROUP BY conv_id"
+SQL["c_filters"] = "SELECT conv_id, coalesce(string_agg('user: ' || length(text), '}}' ORDER BY turn, role, text) FILTER (WHERE role = 'user'), 'none') AS out FROM conversations GROUP BY conv_id"
 
 
 def _truncated(spark: SparkSession, d: str) -> DataFrame:
