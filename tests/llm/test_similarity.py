@@ -229,3 +229,19 @@ def test_rows_with_one_id(spark):
     p = passage(rng, 80)
     df = spark.createDataFrame([(1, p), (1, p), (2, p)], "doc_id long, text string")
     assert sorted(len(r.text) for r in substring.remove_repeats(df).collect())[1:] == [len(p), len(p)]
+
+
+def test_no_shared_passage_of_51_words_is_missed(spark):
+    """Brute force: documents that have 51 words in a row in common with one of a smaller id."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    owner, want = {}, set()
+    for doc, text in sorted((r.doc_id, r.text) for r in docs.collect() if r.text):
+        w = text.split()
+        runs = {hash(tuple(w[i : i + 51])) for i in range(len(w) - 50)}
+        if any(owner.get(x, doc) < doc for x in runs):
+            want.add(doc)
+        for x in runs:
+            owner.setdefault(x, doc)
+    rows = substring.repeated_spans(docs).collect()
+    assert len(want) > 50 and want <= {r.doc_id for r in rows}
+    assert all(r.kept_doc_id in r.kept_doc_ids and max(r.kept_doc_ids) < r.doc_id for r in rows)
