@@ -655,3 +655,16 @@ def test_search_recall_by_size(spark, rows):
         s[q] = -np.inf
         hits += len(found[q] & {*np.argsort(-s)[:20].tolist()})
     assert hits >= 0.9 * 20 * len(asked)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{TABLES}/{t}.parquet'")
+    df = queries.queries()[name](spark, TABLES)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    key = lambda row: tuple((x is None, x) for x in row)
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key) and want

@@ -89,5 +89,12 @@ c AS (SELECT doc_id, license, place, count(DISTINCT x) / n AS containment FROM m
 SELECT doc_id, license, max(containment) AS containment, count(*) AS windows, CAST(min(place) AS INTEGER) AS first_word FROM c WHERE containment >= {licenses.LEAST} GROUP BY doc_id, license"""
 
 
+#: Equal payloads by their text; 40 hexadecimal digits of SHA-1 are 8 groups of 20 bits, four base32 letters each.
+_ARCHIVES = """SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+array_to_string(flatten(list_transform(range(0, 8), lambda g: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(5 * g + 1 AS BIGINT), 5) AS BIGINT) >> s) & 31 AS BIGINT) + 1, 1)))), '') AS payload_digest,
+CASE WHEN best = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN best <> page_id THEN best END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS best FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": _JACCARD, "op8_license_windows": _license_sql()}
+    return {"op2_ngram_jaccard": _JACCARD, "op8_license_windows": _license_sql(), "op10_warc_zstd": _ARCHIVES}
