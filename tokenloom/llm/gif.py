@@ -57,6 +57,12 @@ def _widths(least: int) -> np.ndarray:
     return np.clip(np.floor(np.log2(entries)).astype(np.int64) + 1, least + 1, 12)
 
 
+@functools.cache
+def _ends(least: int) -> np.ndarray:
+    """How many bits there are up to the end of each code after a clear code."""
+    return np.cumsum(_widths(least))
+
+
 @functools.cache
 def _table() -> list[int]:
     """By a code and the sample after it, the entry for both, times 256; 0 where there is none.  Callers leave it as they found it."""
@@ -137,18 +143,17 @@ def lzw_decode(data: bytes, least: int, size: int) -> np.ndarray:
         raise GifError(f"LZW code size {least}")
     clear, end = 1 << least, (1 << least) + 1
     raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8)
+    wide = raw[:-2].astype(np.int32) | raw[1:-1].astype(np.int32) << 8 | raw[2:].astype(np.int32) << 16
     growing = _widths(least)
     known, at, made, out = None, 0, 0, []
     while made < size:
-        width = growing if known is None else np.full(4096, 12)
-        ends = at + np.cumsum(width)
-        n = int(np.searchsorted(ends, len(data) * 8, side="right"))
+        width, lasts = (growing, _ends(least)) if known is None else (np.full(4096, 12), 12 * np.arange(1, 4097))
+        n = int(np.searchsorted(lasts, len(data) * 8 - at, side="right"))
         if not n:
             break
-        width, starts = width[:n], ends[:n] - width[:n]
-        first = starts >> 3
-        bits = raw[first].astype(np.int64) | raw[first + 1].astype(np.int64) << 8 | raw[first + 2].astype(np.int64) << 16
-        codes = bits >> (starts & 7) & ((1 << width) - 1)
+        ends = at + lasts[:n]
+        starts = ends - width[:n]
+        codes = wide[starts >> 3] >> (starts & 7) & ((1 << width[:n]) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == end))
         taken = int(stops[0]) if len(stops) else n
         if taken:
@@ -287,7 +292,7 @@ def decode(data: bytes) -> Iterator[Frame]:
         if transparent is None:
             box[:] = palette[seen]
         else:
-            box[(seen != transparent)] = palette[seen[seen != transparent]]
+            np.copyto(box, palette[seen], where=(seen != transparent)[:, :, None])
         yield Frame(indices, left, top, canvas.copy(), delay, clock, disposal, transparent)
         clock += delay
         if disposal == 2:
