@@ -116,7 +116,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     split = some.filter(any_of).select("doc_id", F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
     hashed = split.select("doc_id", _shingles(F.col("w"), size).alias("h"))  # on a column: within the lambda an expression would be made anew for each word
     shingles = sorted({h for r in fixed for h in r.own})
-    found = hashed.select("doc_id", "h", F.filter(F.transform("h", lambda x, i: F.when(x.isin(shingles), i)), lambda i: i.isNotNull()).alias("hits")).filter(F.size("hits") > 0)
+    found = hashed.select("doc_id", "h", F.filter(F.transform("h", lambda x, i: F.when(x.isin(shingles), i)), lambda i: i.isNotNull()).alias("hits"))  # no filter on it: pushed down, it would make all anew for each word
 
     def starts(length: int) -> Column:
         """Where windows with a hit begin, a multiple of the step each."""
